@@ -9,40 +9,35 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table, texts
-from .tokens import Memo, default_path, encoder
+from .common import stored, table
+from .tokens import default_path, encoded
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces of one length that are ranked together in one window, on average.
 GROUP = 50_000
 
 
-@lru_cache(maxsize=2)
-def _as_ids(path: str) -> Memo:
-    return Memo(lambda w: np.array([i for i, _ in encoder(path).word(w)], "<u4").tobytes())
-
-
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and the end id, cut only beyond `capacity`."""
-    path, end = path or default_path(), np.array([end_id], "<u4").tobytes()
+    path, end = path or default_path(), np.array([end_id], "<u4")
 
     def run(batches):
-        memo, crc, width = _as_ids(path), zlib.crc32, 4 * capacity
+        crc = zlib.crc32
         for batch in batches:
-            rows, piece, start, length, sums = [], [], [], [], []
-            for row, t in enumerate(texts(batch.column(1))):
-                ids = b"".join(map(memo.__getitem__, t.split())) + end
-                for k, at in enumerate(range(0, len(ids), width)):
-                    part = ids[at : at + width]
-                    rows.append(row), piece.append(k), start.append(at // 4), length.append(len(part) // 4), sums.append(crc(part))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, sums))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for a, ids, at in encoded(batch.column(1), path):
+                rows, piece, start, length, sums = [], [], [], [], []
+                for row, (u, v) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True), a):
+                    own = np.append(ids[u:v], end)
+                    for k, x in enumerate(range(0, len(own), capacity)):
+                        part = own[x : x + capacity]
+                        rows.append(row), piece.append(k), start.append(x), length.append(len(part)), sums.append(crc(part.astype("<u4", copy=False)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, sums))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
