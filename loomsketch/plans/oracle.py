@@ -9,7 +9,10 @@ _VALUE = " + ".join(f"(strpos('ACGT', substr(c, {p}, 1)) - 1) * {4**e}" for p, e
 
 _KEPT = f"""
 dim AS (SELECT i, row_number() OVER (ORDER BY md5('42:' || i)) - 1 AS rk FROM range(65536) t(i)),
-kept AS (SELECT rk, {_INNER} AS inner_s FROM dim WHERE rk < 4096)"""
+kept AS (
+  SELECT row_number() OVER (ORDER BY m) - 1 AS rk, {_INNER} AS inner_s
+  FROM (SELECT i, md5('42:' || i) AS m FROM range(65536) t(i) ORDER BY m LIMIT 4096)
+)"""
 
 
 def _fold(text: str) -> str:
@@ -19,10 +22,13 @@ def _fold(text: str) -> str:
 def _codes(name: str, table: str, key: str, seq: str | None = None) -> str:
     """CTEs that end in `name`(sketch_id, code, n)."""
     return f"""
+{name}_p AS (
+  SELECT sketch_id, substr(s, CAST(a AS INTEGER), 523) AS s
+  FROM (SELECT {key} AS sketch_id, {seq or _fold("text")} AS s FROM {table}) d, LATERAL (SELECT unnest(range(1, length(s) + 1, 512)) AS a) x
+),
 {name}_f AS (
   SELECT sketch_id, substr(s, CAST(p AS INTEGER), 12) AS f
-  FROM (SELECT {key} AS sketch_id, {seq or _fold("text")} AS s FROM {table}) d,
-       LATERAL (SELECT unnest(range(1, greatest(length(s) - 10, 1))) AS p) x
+  FROM {name}_p d, LATERAL (SELECT unnest(range(1, greatest(length(s) - 10, 1))) AS p) x
 ),
 {name}_c AS (SELECT sketch_id, f, least(f, reverse(translate(f, 'ACGT', 'TGCA'))) AS c FROM {name}_f WHERE NOT contains(f, 'N')),
 {name} AS (
