@@ -10,6 +10,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 JACCARD, CONTAINMENT = 0, 1
 
@@ -43,7 +44,7 @@ def deviation(m: Column, below: Column) -> Column:
     return F.when((m >= 0) & (m <= 1) & (below > 0), F.sqrt(m * (1 - m) / F.when(below > 0, below)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def upper_tail(z: pd.Series) -> pd.Series:
     """P(Z > z) of the normal distribution, for which Spark has no function."""
     return z.map(lambda v: None if pd.isna(v) else 0.5 * math.erfc(v * math.sqrt(0.5)))
