@@ -30,24 +30,47 @@ KINDS = list(TAGS)
 #: Words on either side of a mention that count as standing with it.
 NEAR = 6
 SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
+#: Characters of a piece of text: a power of two.
+PIECE_BITS = 10
+PIECE = 1 << PIECE_BITS
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 _WORD = r"[\p{L}\p{M}]{3,}"
 
 
-def _running(lengths: Column) -> Column:
-    """Inclusive running sums of an array, by doubling: each round adds the value 1, 2, 4, ... places before."""
-    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(lengths), F.lit(1)).cast("double"))).cast("int"))
-    step = lambda a, r: F.transform(a, lambda x, i: x + F.coalesce(F.get(a, i - F.call_function("shiftleft", F.lit(1), r)), F.lit(0)))
-    return F.aggregate(rounds, lengths, step)
+def _let(value: Column, f) -> Column:
+    """f(value), with the value computed once: what a lambda refers to is else computed again for each element."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def _scan(values: Column, op, zero: int = 0) -> Column:
+    """Inclusive running results of op over an array, by doubling: each round takes in the value 1, 2, 4, ... places before."""
+    rounds = lambda a: F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(a), F.lit(1)).cast("double"))).cast("int"))
+    step = lambda a, r: F.transform(a, lambda x, i: op(x, F.coalesce(F.get(a, i - F.call_function("shiftleft", F.lit(1), r)), F.lit(zero))))
+    return _let(values, lambda a: F.aggregate(rounds(a), a, step))
 
 
 def _spans(text: Column, pattern: Column | str) -> Column:
     """(start, end, value) of each match, in code points: a text is its matches and the parts between them."""
     regex = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found = F.regexp_extract_all(text, regex, F.lit(0))
-    between = F.split(text, regex, -1)
-    ends = _running(F.transform(found, lambda x, i: F.length(x) + F.length(F.get(between, i))))
-    return F.transform(F.arrays_zip(ends.alias("e"), found.alias("v")), lambda z: F.struct((z["e"] - F.length(z["v"])).alias("start"), z["e"].alias("end"), z["v"].alias("value")))
+    parts = F.arrays_zip(F.regexp_extract_all(text, regex, F.lit(0)).alias("v"), F.split(text, regex, -1).alias("b"))
+
+    def placed(found: Column) -> Column:
+        ends = _scan(F.transform(found, lambda z: F.length(z["b"]) + F.length(z["v"])), lambda x, y: x + y)
+        return F.transform(F.arrays_zip(ends.alias("e"), found.alias("z")), lambda y: F.struct((y["e"] - F.length(y["z"]["v"])).alias("start"), y["e"].alias("end"), y["z"]["v"].alias("value")))
+
+    return _let(F.filter(parts, lambda z: z["v"].isNotNull()), placed)
+
+
+def _pieces(text: Column) -> Column:
+    """A text in pieces of PIECE characters, so that a part of it is found without counting from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def _part(pieces: Column, start: Column, end: Column) -> Column:
+    """The characters from start up to end."""
+    first = F.call_function("shiftright", start, F.lit(PIECE_BITS))
+    count = F.call_function("shiftright", end, F.lit(PIECE_BITS)) - first + 1
+    return F.substring(F.array_join(F.slice(pieces, first + 1, count), ""), start - first * PIECE + 1, end - start)
 
 
 def _digits(x: Column) -> Column:
@@ -77,7 +100,7 @@ def base_spans(text: Column) -> Column:
     for i, kind in enumerate(PATTERNS):
         possible = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else text.rlike("[0-9]")
         parts.append(F.when(possible, _of_kind(text, i, kind)).otherwise(empty))
-    return F.array_sort(F.concat(*parts))
+    return F.sort_array(F.concat(*parts))
 
 
 def _of_kind(text: Column, i: int, kind: str) -> Column:
@@ -103,12 +126,15 @@ def mentions(found: DataFrame) -> DataFrame:
     """(doc_id, th, e, t): the terms t up to NEAR words to either side of each mention of e."""
     # far more characters than NEAR words usually have; a longer word is cut off and is no term
     reach = 24 * NEAR
-    span = found.select("doc_id", "th", "text", F.explode("base").alias("z"))
-    before = F.col("text").substr(F.greatest(F.col("z.start") - reach + 1, F.lit(1)), F.least(F.col("z.start"), F.lit(reach)))
-    after = F.col("text").substr(F.col("z.end") + 1, F.lit(reach))
-    left, right = _words(F.regexp_replace(before, r"^\S*", "")), _words(F.regexp_replace(after, r"\S*$", ""))
-    near = F.concat(F.slice(F.reverse(left), 1, NEAR), F.slice(right, 1, NEAR))
-    return span.select("doc_id", "th", _entity(F.col("z.kind"), F.col("z.value")).alias("e"), F.explode(F.array_distinct(near)).alias("t"))
+
+    def near(p: Column, z: Column) -> Column:
+        before, after = _part(p, F.greatest(z["start"] - reach, F.lit(0)), z["start"]), _part(p, z["end"], z["end"] + reach)
+        left, right = _words(F.regexp_replace(before, r"^\S*", "")), _words(F.regexp_replace(after, r"\S*$", ""))
+        terms = F.concat(F.slice(F.reverse(left), 1, NEAR), F.slice(right, 1, NEAR))
+        return F.struct(_entity(z["kind"], z["value"]).alias("e"), F.array_distinct(terms).alias("t"))
+
+    by_mention = found.select("doc_id", "th", F.explode(_let(_pieces(F.col("text")), lambda p: F.transform("base", lambda z: near(p, z)))).alias("m"))
+    return by_mention.select("doc_id", "th", F.col("m.e").alias("e"), F.explode("m.t").alias("t"))
 
 
 def disclosing(docs: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -132,7 +158,7 @@ def disclosing(docs: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame
 
 
 def _pattern(terms: Column) -> Column:
-    return F.concat(F.lit(r"(?i)(?<![\p{L}\p{M}])(?:"), F.array_join(terms, "|"), F.lit(r")(?![\p{L}\p{M}])"))
+    return F.concat(F.lit(r"(?iu)(?<![\p{L}\p{M}])(?:"), F.array_join(terms, "|"), F.lit(r")(?![\p{L}\p{M}])"))
 
 
 def _as_kind(spans: Column, i: int | None) -> Column:
@@ -160,8 +186,9 @@ def analysed(docs: DataFrame) -> DataFrame:
     plain = _as_kind(F.col("base"), None)
     hit = joined.select("doc_id", "th", "text", plain.alias("base"), *[m.alias(k) for m, k in zip(more, ("generalise", "remove"), strict=True)])
     # a term inside personal data is gone with it
-    outside = lambda z: ~F.exists("base", lambda b: (z["start"] < b["end"]) & (b["start"] < z["end"]))
-    hit = hit.select("doc_id", "th", "text", "base", F.array_sort(F.concat("base", F.filter(F.concat("generalise", "remove"), outside))).alias("spans"))
+    free = lambda b, z: ~F.exists(b, lambda y: (z["start"] < y["end"]) & (y["start"] < z["end"]))
+    terms = _let(F.col("base"), lambda b: F.filter(F.concat("generalise", "remove"), lambda z: free(b, z)))
+    hit = hit.select("doc_id", "th", "text", "base", F.sort_array(F.concat("base", terms)).alias("spans"))
     clean = found.filter(F.size("base") == 0).select("doc_id", "th", "text", plain.alias("base"), plain.alias("spans"))
     return hit.unionAll(clean)
 
@@ -177,22 +204,24 @@ def sanitise(docs: DataFrame) -> DataFrame:
     its spans replaced, null where there are none and the text stays as it is. Null text counts as empty. A null doc_id is
     kept; repeated rows each give a row; other columns are ignored; an empty table gives no rows. Offsets are code points.
     """
-    rows = analysed(docs)
+    rows = analysed(docs).withColumn("sanitised", F.when(F.size("spans") > 0, replaced(F.col("text"), F.col("spans"))))
     counts = [_count(F.col("base"), i).alias(f"n_{k}") for i, k in enumerate(PATTERNS)]
-    return rows.select("doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_terms"), F.when(F.size("spans") > 0, replaced(F.col("text"), F.col("spans"))).alias("sanitised"))
+    return rows.select("doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_terms"), "sanitised")
 
 
 def replaced(text: Column, spans: Column) -> Column:
     """The text with each span as its kind's tag; spans that overlap become one, with the tag of the first."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     tags = F.array(*[F.lit(t) for t in TAGS.values()])
 
-    def step(a: Column, z: Column) -> Column:
-        fresh = z["start"] >= a["at"]
-        part = F.concat(F.substring(text, a["at"] + 1, z["start"] - a["at"]), F.element_at(tags, z["kind"] + 1))
-        return F.struct(F.greatest(a["at"], z["end"]).alias("at"), F.when(fresh, F.concat(a["out"], part)).otherwise(a["out"]).alias("out"))
+    def joined(p: Column, s: Column, at: Column) -> Column:
+        part = lambda z: F.concat(_part(p, z["at"], z["s"]["start"]), F.element_at(tags, z["s"]["kind"] + 1))
+        before = F.arrays_zip(s.alias("s"), F.concat(F.array(F.lit(0)), F.slice(at, 1, F.size(at) - 1)).alias("at"))
+        parts = F.transform(F.filter(before, lambda z: z["s"]["start"] >= z["at"]), part)
+        return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(at, -1) + 1, F.length(text)))
 
-    return F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    furthest = lambda s: _scan(F.transform(s, lambda z: z["end"]), lambda x, y: F.greatest(x, y))
+    new = _let(_pieces(text), lambda p: _let(spans, lambda s: _let(furthest(s), lambda at: joined(p, s, at))))
+    return F.when(F.size(spans) > 0, new).otherwise(text)
 
 
 def sanitised(docs: DataFrame) -> DataFrame:

@@ -113,13 +113,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """A stored table of doc_id, th, fp and component_id for every row."""
+    """doc_id, th, fp, root (which names the component) and component_id of every row."""
     rows = stored(fingerprints(docs), "fingerprints")
     prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
     roots = stored(components(links(company(prints.select("fp")))), "roots")
     joined = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(joined.join(least, "root").select("fp", "component_id"), "fp")
+    return rows.join(joined.join(least, "root").select("fp", "root", "component_id"), "fp")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -133,15 +133,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component, with the columns of docs: the one with the smallest doc_id."""
-    rows = classes(docs).withColumn("c", F.coalesce("component_id", F.lit(-(1 << 63))))
-    first = rows.groupBy("c", F.col("component_id").isNull()).agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("f"))
+    """One document of each component, with the columns of docs: the one with the smallest doc_id.
+
+    Rows of one doc_id and different texts are different documents; a row that is repeated as a whole stays once.
+    """
+    first = classes(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("f"))
     first = first.select(F.coalesce("f.doc_id", F.lit(-1)).alias("__id"), F.col("f.n").alias("__null"), F.col("f.th").alias("__th"))
     names = docs.columns
     keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "__null": F.col("doc_id").isNull(), "__th": F.xxhash64(F.col("text").cast("string"))})
     keys = ["__id", "__null", "__th"]
     kept = keyed.join(first, keys, "left_semi")
-    once = Window.partitionBy(*keys).orderBy(F.lit(1))  # a row that is repeated as a whole stays once
+    once = Window.partitionBy(*keys).orderBy(F.lit(1))
     return kept.withColumn("__n", F.row_number().over(once)).filter("__n = 1").select(*names)
 
 
