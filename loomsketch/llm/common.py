@@ -14,7 +14,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 #: Bytes of text that are taken at once, so that a worker's arrays stay small beside its heap.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 _own_dirs: dict[str, str] = {}
 

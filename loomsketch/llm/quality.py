@@ -86,16 +86,19 @@ def count_features(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray
 
 def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns `keep` of docs, and FEATURES of its text under names that begin with __q_."""
+    once = "text" in keep and docs.schema["text"].dataType.simpleString() == "string"  # a text goes to Python once
+    at = keep.index("text") if once else len(keep)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{k}`") for k in keep]).schema)
 
     def run(batches):
         for batch in batches:
-            buf, off = buffers(batch.column(len(keep)))
+            buf, off = buffers(batch.column(at))
             found = [count_features(buf, off[a : b + 1]) for a, b in chunks(off)]
             if found:
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(np.concatenate([x[k] for x in found])) for k in FEATURES)], [*keep, *(f"__q_{k}" for k in FEATURES)])
 
-    return docs.select(*[F.col(f"`{k}`") for k in keep], F.col("text").cast("string").alias("__q_text")).mapInArrow(run, f"{kinds}{', ' if kinds else ''}{', '.join(f'__q_{k} long' for k in FEATURES)}")
+    rows = docs.select(*[F.col(f"`{k}`") for k in keep], *([] if once else [F.col("text").cast("string").alias("__q_text")]))
+    return rows.mapInArrow(run, f"{kinds}{', ' if kinds else ''}{', '.join(f'__q_{k} long' for k in FEATURES)}")
 
 
 def _q(name: str) -> Column:

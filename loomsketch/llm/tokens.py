@@ -271,7 +271,7 @@ def encoder(path: str) -> ForcedBoundaryEncoder:
     return ForcedBoundaryEncoder(path)
 
 
-def encoded(column: pa.Array, path: str, limit: int = 1 << 21):
+def encoded(column: pa.Array, path: str, limit: int = 1 << 20):
     """For each run of texts in a column: its first row, the ids of its texts, and where each text's begin."""
     buf, off = buffers(column)
     for a, b in chunks(off, limit):
@@ -302,7 +302,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     Null text counts as empty; an empty text has no tokens and the digests of an empty string. A null doc_id is kept as
     it is, repeated rows each give a row, other columns are ignored. Texts are taken whole, whatever their length; memory
-    is that of one Arrow batch and of the arrays for 2 MB of text, or for one text that is longer.
+    is that of one Arrow batch and of the arrays for 1 MB of text, or for one text that is longer.
     """
     path = path or default_path()
 
