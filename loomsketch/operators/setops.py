@@ -53,9 +53,11 @@ def combine(pans: dict[str, DataFrame]) -> DataFrame:
 def combine_batches(batches: list[DataFrame]) -> DataFrame:
     """Batches of sketches with ids from 0 as one: each batch's ids begin behind the last one's."""
     out, base = [], 0
-    for batch in batches:
+    for i, batch in enumerate(batches):
         out.append(batch.withColumn("sketch_id", F.col("sketch_id") + F.lit(base)))
-        base += (batch.agg(F.max("sketch_id")).first()[0] or 0) + 1 if batch is not batches[-1] else 0
+        if i < len(batches) - 1:
+            last = batch.agg(F.max("sketch_id")).first()[0]
+            base += 0 if last is None else last + 1
     return reduce(DataFrame.unionByName, out)
 
 
