@@ -8,6 +8,9 @@ radius thus collides in some table; chance plays no part.
 Fingerprints that collide with another one in some table are then linked exactly. Two fingerprints are at most 2 bits apart
 if and only if some word is at most 1 bit from both, so each offers itself to the 65 words around it, and those who meet at
 a word are linked to the smallest there. No list of pairs is made: a word has at most 65 neighbours.
+
+keep_first also takes a Jaccard similarity of word shingles. At 0.8 about 10 of 64 bits differ, and covering those would take
+thousands of tables, so candidates come from bands of min-hashes there. Each bucket's texts are compared exactly.
 """
 
 from __future__ import annotations
@@ -18,11 +21,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table, texts
+from .common import Words, buffers, chunks, mix, stored, table, texts, word_hashes
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
 #: Shingles whose bits are summed at once.
 BLOCK = 1 << 14
+#: Bands of min-hashes, and min-hashes of a band: of pairs of similarity 0.8, about 3 in a million share no band.
+BANDS, BAND = 32, 5
+_FACTORS = np.random.default_rng(20250118).integers(1, 1 << 63, (BANDS, BAND), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -46,12 +52,12 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(total * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, th (a hash of the text, which tells apart rows of one doc_id) and fp, signed."""
 
     def run(batches):
         for batch in batches:
-            fp = np.array([fingerprint(t) for t in texts(batch.column(2))], np.uint64).astype(np.int64)
+            fp = np.array([fingerprint(t, shingle) for t in texts(batch.column(2))], np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp)], ["doc_id", "th", "fp"])
 
     text = F.col("text").cast("string")
@@ -112,9 +118,9 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, th, fp, root (which names the component) and component_id of every row."""
-    rows = stored(fingerprints(docs), "fingerprints")
+    rows = stored(fingerprints(docs, shingle), "fingerprints")
     prints = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "prints")
     roots = stored(components(links(company(prints.select("fp")))), "roots")
     joined = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -122,6 +128,123 @@ def classes(docs: DataFrame) -> DataFrame:
     return rows.join(joined.join(least, "root").select("fp", "root", "component_id"), "fp")
 
 
+def shingles(buf: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's runs of `size` lower-cased words, and where each text's begin; a shorter text is one run."""
+    w = Words(buf, offsets)
+    h = word_hashes(w, lower=True)
+    count = np.maximum(w.count - size + 1, 1)
+    begin = np.append(0, np.cumsum(count))
+    text = np.repeat(np.arange(len(count)), count)
+    at = np.arange(begin[-1]) - begin[:-1][text] + w.first[:-1][text]
+    last = w.first[1:][text]
+    out = np.zeros(begin[-1], np.uint64)
+    for k in range(size):
+        inside = at + k < last
+        out[inside] = mix(out[inside] + h[at[inside] + k])
+    return out, begin
+
+
+def band_keys(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """A key for each text and band."""
+    keys = np.empty((len(begin) - 1, BANDS), np.uint64)
+    for b, factors in enumerate(_FACTORS):
+        key = np.full(len(begin) - 1, b, np.uint64)
+        for f in factors:
+            key = mix(key + np.minimum.reduceat(h * f, begin[:-1]))
+        keys[:, b] = key
+    return keys
+
+
+def linked(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that join all sets of at least that Jaccard similarity, directly or through others.
+
+    Each set in turn is compared with later ones. Left out are those in its component already, those too long or short, and
+    those that the triangle inequality of the Jaccard distance tells apart by an earlier set; no pair that counts is lost.
+    """
+    n = len(sets)
+    size = np.array([len(s) for s in sets])
+    begin = np.append(0, np.cumsum(size))
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    label, far, out = np.arange(n), [], []
+    for p in range(n - 1):
+        c = label != label[p]
+        if not c.any():
+            break
+        c[: p + 1] = False
+        c &= np.minimum(size, size[p]) >= similarity * np.maximum(size, size[p]) - 1e-9
+        for d in far:
+            c &= ~(np.abs(d - d[p]) > 1 - similarity + 1e-9)
+        at = np.flatnonzero(c)
+        if not len(at):
+            continue
+        mark = np.zeros(len(values), np.int32)
+        mark[place[begin[p] : begin[p + 1]]] = 1
+        if len(at) * 4 > n:
+            both = np.add.reduceat(mark[place], begin[:-1])[at]
+        else:
+            both = np.array([mark[place[begin[i] : begin[i + 1]]].sum() for i in at])
+        j = both / (size[at] + size[p] - both)
+        d = np.full(n, np.nan)
+        d[at], d[p] = 1 - j, 0
+        far = [*far[-7:], d]
+        names, first = np.unique(label[at[j >= similarity - 1e-12]], return_index=True)
+        out += [(p, int(i)) for i in at[j >= similarity - 1e-12][first]]
+        label[np.isin(label, names)] = label[p]
+    return out
+
+
+def similar(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """doc_id, th and root of every row; rows of one root are linked by sets of shingles of at least that similarity.
+
+    A text is taken once however often it occurs. Buckets with the same texts in several bands are compared once; the sets
+    of a bucket's different texts are held by one task.
+    """
+    text = F.col("text").cast("string")
+    all_texts = docs.select(F.xxhash64(text).alias("th"), text.alias("text"))
+
+    def keyed(batches):
+        for batch in batches:
+            buf, off = buffers(batch.column(1))
+            for a, b in chunks(off):
+                keys = band_keys(*shingles(buf, off[a : b + 1], shingle))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * BANDS, pa.int32()), pa.array(keys.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["th", "keys"])
+
+    keys = stored(all_texts.mapInArrow(keyed, "th long, keys array<long>").dropDuplicates(["th"]), "bands")
+    rows = keys.select("th", F.explode("keys").alias("k"))
+    shared = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("th").alias("a"), F.max("th").alias("b"), F.bit_xor(F.xxhash64("th")).alias("x")).filter("n > 1")
+    members = stored(rows.join(shared.select("k", F.xxhash64("n", "a", "b", "x").alias("bucket")), "k").select("bucket", "th").distinct(), "buckets")
+    needed = all_texts.join(members.select("th").distinct(), "th", "left_semi").dropDuplicates(["th"])
+    grouped = members.join(needed, "th").select("bucket", "th", "text").repartition("bucket").sortWithinPartitions("bucket", "th")
+
+    def compared(batches):
+        bucket, names, sets, edges = None, [], [], []
+        for batch in batches:
+            buckets, ths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            buf, off = buffers(batch.column(2))
+            for a, b in chunks(off):
+                h, begin = shingles(buf, off[a : b + 1], shingle)
+                for i in range(a, b):
+                    if buckets[i] != bucket:
+                        if names:
+                            edges += [(names[x], names[y]) for x, y in linked(sets, similarity)]
+                        bucket, names, sets = buckets[i], [], []
+                    names.append(ths[i])
+                    sets.append(np.unique(h[begin[i - a] : begin[i - a + 1]]))
+            yield sent(edges)
+            edges = []
+        if names:
+            yield sent([(names[x], names[y]) for x, y in linked(sets, similarity)])
+
+    def sent(edges):
+        u, v = [max(e) for e in edges], [min(e) for e in edges]
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    roots = stored(components(grouped.mapInArrow(compared, "u long, v long").distinct()), "roots")
+    names = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"))
+    return names.join(roots.withColumnRenamed("node", "th"), "th", "left").select("doc_id", "th", F.coalesce("root", "th").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable by links, for every row.
 
@@ -132,12 +255,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """One document of each component, with the columns of docs: the one with the smallest doc_id.
 
+    Documents are linked where their fingerprints are at most RADIUS bits apart or, with a similarity, where the Jaccard
+    similarity of their sets of shingles reaches it.
     Rows of one doc_id and different texts are different documents; a row that is repeated as a whole stays once.
     """
-    first = classes(docs).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("f"))
+    rows = classes(docs, shingle) if similarity is None else similar(docs, shingle, similarity)
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "th")).alias("f"))
     first = first.select(F.coalesce("f.doc_id", F.lit(-1)).alias("__id"), F.col("f.n").alias("__null"), F.col("f.th").alias("__th"))
     names = docs.columns
     keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), "__null": F.col("doc_id").isNull(), "__th": F.xxhash64(F.col("text").cast("string"))})

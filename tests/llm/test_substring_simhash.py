@@ -139,3 +139,58 @@ def test_keep_first(docs, given):
 def test_nothing(f, empty, all_null):
     assert f(empty).count() == 0
     assert f(all_null).count() in (1, 3)
+
+
+def five_words(text):
+    w = words(lowered(text))
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([tuple(w)])
+
+
+def test_stage_keeps_one_of_near_copies(spark):
+    """Copies with some words changed, of similarities on both sides of 0.8; the radius of 2 bits leaves most of them."""
+    import random
+
+    import corpus_pipeline
+
+    rng, rows = random.Random(3), []
+    for g in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([6, 40, 150, 400]))]
+        for edits in (0, 0, 1, 2, 4, 6):
+            copy = list(base)
+            for at in rng.sample(range(len(copy)), min(edits, len(copy))):
+                copy[at] = f"new{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    sets = [five_words(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want = {find(i) for i in range(len(rows))}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    kept = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()]
+    assert sorted(kept) == sorted(want)
+    assert simhash.keep_first(df).count() > len(want)
+
+
+def test_links_lose_no_pair():
+    """A bucket where the first set is like neither of two others that are alike."""
+    import numpy as np
+
+    s = [np.arange(a, a + 100, dtype=np.uint64) for a in (0, 9, 18, 30, 500)]
+    assert sorted(map(sorted, simhash.linked(s, 0.8))) == [[0, 1], [1, 2]]
+    assert simhash.linked([s[0], s[0]], 0.8) == [(0, 1)]
+
+
+def test_similarity_of_odd_rows(docs, given, empty, all_null):
+    kept = rows_of(simhash.keep_first(docs, shingle=5, similarity=0.8), "doc_id", "text")
+    assert len({five_words(t) for _, t in kept}) == len(kept)
+    assert simhash.keep_first(empty, shingle=5, similarity=0.8).count() == 0
+    assert simhash.keep_first(all_null, shingle=5, similarity=0.8).count() == 1
