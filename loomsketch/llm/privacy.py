@@ -174,11 +174,18 @@ def analysed(docs: DataFrame) -> DataFrame:
     with_any = found.filter(F.size("base") > 0)
     pairs = stored(mentions(with_any).distinct(), "mentions")
     terms = stored(disclosing(docs, with_any, pairs), "disclosing")
-    flagged = pairs.join(terms, ["e", "t"]).groupBy("doc_id", "th", "t").agg(F.max("kind").alias("kind"))
-    flagged = flagged.groupBy("doc_id", "th").agg(*[F.sort_array(F.collect_set(F.when(F.col("kind") == KINDS.index(k), F.col("t")))).alias(k) for k in ("generalise", "remove")])
+    of_kind = lambda k: F.collect_set(F.when(F.col("kind") == KINDS.index(k), F.col("t"))).alias(k)
+    by_entity = terms.groupBy("e").agg(of_kind("generalise"), of_kind("remove"))
+    entities = with_any.select("doc_id", "th", F.explode(F.array_distinct(F.transform("base", lambda z: _entity(z["kind"], z["value"])))).alias("e")).distinct()
+    together = lambda k: F.array_distinct(F.flatten(F.collect_list(k))).alias(k)
+    flagged = entities.join(by_entity, "e").groupBy("doc_id", "th").agg(together("generalise"), together("remove"))
+    # where two entities differ, a term is removed
+    flagged = flagged.withColumn("generalise", F.array_except("generalise", "remove"))
     # null-safe: a row with a null doc_id is named by its text
     key = F.struct(F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("n"), "th")
     joined = with_any.withColumn("key", key).join(flagged.select(key.alias("key"), "generalise", "remove"), "key", "left")
+    held = _let(_words(F.col("text")), lambda w: F.struct(*[F.sort_array(F.array_intersect(w, F.col(k))).alias(k) for k in ("generalise", "remove")]))
+    joined = joined.withColumn("held", held).select("doc_id", "th", "text", "base", "held.*")
     more = []
     for k in ("generalise", "remove"):
         none = F.array().cast("array<struct<start:int,kind:int,end:int>>")

@@ -81,6 +81,16 @@ def test_disclosing_terms_go_and_others_stay(spark):
     assert all(out[100 + i]["sanitised"] is None for i in range(200))
 
 
+def test_disclosing_terms_go_far_from_the_mention(spark):
+    """In the last text the term stands a thousand words from the address."""
+    rows = [(i, f"contact agent zebrafish number {i} at secret@corp.com about agent things {'x' * i}") for i in range(5)]
+    rows += [(50, "zebrafish first " + "agent things " * 500 + " secret@corp.com " + "contact number " * 500 + " zebrafish last")]
+    rows += [(100 + i, f"contact agent about things number {i} please") for i in range(200)]
+    out = {r["doc_id"]: r for r in privacy.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("zebrafish" not in out[i]["sanitised"] for i in (0, 1, 2, 3, 4, 50))
+    assert out[50]["n_terms"] == 2 and out[50]["sanitised"].count("agent") == 500
+
+
 def test_sanitised_table(docs, given):
     out = privacy.sanitised(docs)
     assert out.columns == docs.columns and out.count() == len(given)
