@@ -122,18 +122,35 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
 
 
+def masked(text: Column, spans: Column) -> Column:
+    """The text with spans, which are in order, blank; every other character stays at its place."""
+
+    def joined(p: Column, s: Column, at: Column) -> Column:
+        begin = lambda z: F.greatest(z["s"]["start"], z["at"])
+        before = F.arrays_zip(s.alias("s"), at.alias("to"), F.concat(F.array(F.lit(0)), F.slice(at, 1, F.size(at) - 1)).alias("at"))
+        parts = F.transform(before, lambda z: F.concat(_part(p, z["at"], begin(z)), F.repeat(F.lit(" "), z["to"] - begin(z))))
+        return F.concat(F.array_join(parts, ""), F.substring(text, F.element_at(at, -1) + 1, F.length(text)))
+
+    furthest = _scan(F.transform(spans, lambda z: z["end"]), lambda x, y: F.greatest(x, y))
+    return _let(_pieces(text), lambda p: _let(furthest, lambda at: joined(p, spans, at)))
+
+
 def mentions(found: DataFrame) -> DataFrame:
-    """(doc_id, th, e, t): the terms t up to NEAR words to either side of each mention of e."""
-    # far more characters than NEAR words usually have; a longer word is cut off and is no term
-    reach = 24 * NEAR
-
-    def near(p: Column, z: Column) -> Column:
-        before, after = _part(p, F.greatest(z["start"] - reach, F.lit(0)), z["start"]), _part(p, z["end"], z["end"] + reach)
-        left, right = _words(F.regexp_replace(before, r"^\S*", "")), _words(F.regexp_replace(after, r"\S*$", ""))
-        terms = F.concat(F.slice(F.reverse(left), 1, NEAR), F.slice(right, 1, NEAR))
+    """(doc_id, th, e, t): the terms t up to NEAR words to either side of each mention of e, however long they are."""
+
+    def near(w: Column, z: Column, n: Column) -> Column:
+        terms = F.concat(F.slice(w, F.greatest(n - NEAR, F.lit(0)) + 1, F.least(n, F.lit(NEAR))), F.slice(w, n + 1, NEAR))
         return F.struct(_entity(z["kind"], z["value"]).alias("e"), F.array_distinct(terms).alias("t"))
 
-    by_mention = found.select("doc_id", "th", F.explode(_let(_pieces(F.col("text")), lambda p: F.transform("base", lambda z: near(p, z)))).alias("m"))
+    def beside(w: Column, base: Column) -> Column:
+        places = lambda spans, i: F.transform(spans, lambda z: F.struct(z["start"].alias("at"), F.lit(i).alias("word")))
+        order = F.sort_array(F.concat(places(base, 0), places(w, 1)))
+        mine = F.filter(F.transform(order, lambda y, j: F.struct(y["word"].alias("word"), j.alias("j"))), lambda y: y["word"] == 0)
+        # how many words come before each mention
+        rank = F.transform(mine, lambda y, i: y["j"] - i)
+        return _let(F.transform(w, lambda z: F.lower(z["value"])), lambda v: F.transform(F.arrays_zip(base.alias("z"), rank.alias("n")), lambda y: near(v, y["z"], y["n"])))
+
+    by_mention = found.select("doc_id", "th", F.explode(_let(_spans(F.col("masked"), _WORD), lambda w: beside(w, F.col("base")))).alias("m"))
     return by_mention.select("doc_id", "th", F.col("m.e").alias("e"), F.explode("m.t").alias("t"))
 
 
@@ -146,7 +163,10 @@ def disclosing(docs: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame
     joint = pairs.groupBy("e", "t").agg(F.count("*").alias("n_et"), F.count_distinct("th").alias("texts")).filter(F.col("texts") >= SUPPORT)
     entities = found.select(F.explode(F.array_distinct(F.transform("base", lambda z: _entity(z["kind"], z["value"])))).alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
     texts = docs.filter(F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"))
-    words = texts.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("t")).groupBy("t").agg(F.count("*").alias("n_t"))
+    words = texts.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("t"))
+    # words that only personal data joins to other letters
+    parted = found.select(F.explode(F.array_except(_words(F.col("masked")), _words(F.col("text")))).alias("t"))
+    words = words.unionAll(parted).groupBy("t").agg(F.count("*").alias("n_t"))
     total = texts.agg(F.count("*").alias("n"))
     n = float(total.first()[0])
     scored = joint.join(entities, "e").join(words, "t")
@@ -170,7 +190,7 @@ def analysed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("th", F.xxhash64("text"))
     rows = rows.withColumn("base", base_spans(F.col("text")))
-    found = stored(rows.select("doc_id", "th", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "personal")
+    found = stored(rows.select("doc_id", "th", "base", *[F.when(F.size("base") > 0, c).alias(k) for k, c in (("text", F.col("text")), ("masked", masked(F.col("text"), F.col("base"))))]), "personal")
     with_any = found.filter(F.size("base") > 0)
     pairs = stored(mentions(with_any).distinct(), "mentions")
     terms = stored(disclosing(docs, with_any, pairs), "disclosing")
@@ -184,18 +204,15 @@ def analysed(docs: DataFrame) -> DataFrame:
     # null-safe: a row with a null doc_id is named by its text
     key = F.struct(F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("n"), "th")
     joined = with_any.withColumn("key", key).join(flagged.select(key.alias("key"), "generalise", "remove"), "key", "left")
-    held = _let(_words(F.col("text")), lambda w: F.struct(*[F.sort_array(F.array_intersect(w, F.col(k))).alias(k) for k in ("generalise", "remove")]))
-    joined = joined.withColumn("held", held).select("doc_id", "th", "text", "base", "held.*")
+    held = _let(_words(F.col("masked")), lambda w: F.struct(*[F.sort_array(F.array_intersect(w, F.col(k))).alias(k) for k in ("generalise", "remove")]))
+    joined = joined.withColumn("held", held).select("doc_id", "th", "text", "masked", "base", "held.*")
     more = []
     for k in ("generalise", "remove"):
         none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-        more.append(F.when(F.size(k) > 0, _as_kind(_spans(F.col("text"), _pattern(F.col(k))), KINDS.index(k))).otherwise(none))
+        more.append(F.when(F.size(k) > 0, _as_kind(_spans(F.col("masked"), _pattern(F.col(k))), KINDS.index(k))).otherwise(none))
     plain = _as_kind(F.col("base"), None)
     hit = joined.select("doc_id", "th", "text", plain.alias("base"), *[m.alias(k) for m, k in zip(more, ("generalise", "remove"), strict=True)])
-    # a term inside personal data is gone with it
-    free = lambda b, z: ~F.exists(b, lambda y: (z["start"] < y["end"]) & (y["start"] < z["end"]))
-    terms = _let(F.col("base"), lambda b: F.filter(F.concat("generalise", "remove"), lambda z: free(b, z)))
-    hit = hit.select("doc_id", "th", "text", "base", F.sort_array(F.concat("base", terms)).alias("spans"))
+    hit = hit.select("doc_id", "th", "text", "base", F.sort_array(F.concat("base", "generalise", "remove")).alias("spans"))
     clean = found.filter(F.size("base") == 0).select("doc_id", "th", "text", plain.alias("base"), plain.alias("spans"))
     return hit.unionAll(clean)
 

@@ -91,6 +91,30 @@ def test_disclosing_terms_go_far_from_the_mention(spark):
     assert out[50]["n_terms"] == 2 and out[50]["sanitised"].count("agent") == 500
 
 
+def test_terms_at_the_edges_without_spaces_and_far_in_characters(spark):
+    """The first and the last word, words joined to the mention, and the sixth word beyond 144 characters."""
+    long = " ".join("agent" * 8 + x for x in "abcde")
+    rows = []
+    for i in range(5):
+        rows += [(10 * i, f"zebrafish one@corp.com {i} okapi"), (10 * i + 1, f"斑马鱼养殖two@corp.com。{i}"), (10 * i + 2, f"{i} quetzal {long} three@corp.com {long} narwhal {i}"), (10 * i + 3, f"Axolotl:<four@corp.com> {i}")]
+    rows += [(100 + i, f"contact agent about things number {i} {long}") for i in range(200)]
+    out = {r["doc_id"]: r for r in privacy.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(5):
+        assert out[10 * i]["sanitised"] == f" [EMAIL] {i} " and out[10 * i + 1]["sanitised"] == f"[EMAIL]。{i}"
+        assert out[10 * i + 2]["sanitised"] == f"{i}  {long} [EMAIL] {long}  {i}" and out[10 * i + 3]["sanitised"] == f":<[EMAIL]> {i}"
+
+
+def test_masked(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["a@b.c", "é𝔘 1.2.3.4 +49 30 1234567 x", "x" * 1020 + "y a@b.c" + "z" * 3000 + " a@b.cc", "4111 1111 1111 1111@b.c +4111 1111 1111 1111@b.c"]
+    for t, m in spark.createDataFrame([(t,) for t in texts], "text string").select("text", privacy.masked(F.col("text"), privacy.base_spans(F.col("text")))).collect():
+        want = list(t)
+        for a, _, b in brute(t):
+            want[a:b] = " " * (b - a)
+        assert m == "".join(want)
+
+
 def test_sanitised_table(docs, given):
     out = privacy.sanitised(docs)
     assert out.columns == docs.columns and out.count() == len(given)
