@@ -76,24 +76,33 @@ def krona(stats: DataFrame, lineages: DataFrame) -> DataFrame:
     return out.select("sample", "taxon", "percentage", "lineage").orderBy("sample", F.desc("percentage"), "taxon")
 
 
-def ancestors(nodes: DataFrame, root: int = 1, most: int = 64) -> DataFrame:
+def _held(df: DataFrame) -> DataFrame:
+    """df, computed once and cut off from its plan."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def ancestors(nodes: DataFrame, root: int = 1, most: int | None = None) -> DataFrame:
     """(node, ancestor, steps) of nodes (node, parent), themselves included and the root left out.
 
-    Paths are doubled in every round, so that a tree of depth d takes log2(d) joins; `most` bounds the depth.
+    Paths are doubled in every round until none grows, so that a tree of depth d takes log2(d) rounds. Parents that form a
+    circle are refused, and so are paths that are longer than `most` by the round that reaches it.
     """
-    up = nodes.filter(F.col("node") != root).select("node", "parent")
+    up = _held(nodes.filter(F.col("node") != root).select("node", "parent"))
     paths = up.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("steps"))
     jump, size = up.select(F.col("node").alias("at"), F.col("parent").alias("to")), 1
-    while size < most:
+    most = up.count() if most is None else most
+    while not jump.isEmpty():
+        if size > most:
+            raise ValueError(f"paths of more than {most} nodes: the tree is deeper, or parents form a circle")
         further = paths.join(jump, paths["ancestor"] == jump["at"]).filter(F.col("to") != root).select("node", F.col("to").alias("ancestor"), (F.col("steps") + size).alias("steps"))
-        paths = paths.unionByName(further)
+        paths = _held(paths.unionByName(further))
         nxt = jump.select(F.col("at").alias("to"), F.col("to").alias("to2"))
-        jump = jump.join(nxt, "to").select("at", F.col("to2").alias("to"))
+        jump = _held(jump.join(nxt, "to").select("at", F.col("to2").alias("to")))
         size *= 2
     return paths
 
 
-def roll_up(profile: DataFrame, nodes: DataFrame, root: int = 1, most: int = 8, add: bool = True) -> DataFrame:
+def roll_up(profile: DataFrame, nodes: DataFrame, root: int = 1, most: int | None = None, add: bool = True) -> DataFrame:
     """(sample, taxon, rank, percentage): every taxon's own share and those below it.
 
     nodes: (node, parent, rank). Shares of one taxon are added up; with add=False the greatest stands for it, as where a
@@ -105,7 +114,7 @@ def roll_up(profile: DataFrame, nodes: DataFrame, root: int = 1, most: int = 8,
     return out.join(nodes.select(F.col("node").alias("taxon"), "rank"), "taxon").select("sample", "taxon", "rank", "percentage")
 
 
-def lineage_paths(nodes: DataFrame, root: int = 1, most: int = 8) -> DataFrame:
+def lineage_paths(nodes: DataFrame, root: int = 1, most: int | None = None) -> DataFrame:
     """(node, path, names): ranked ancestors from the top down, joined by |. nodes: (node, parent, rank, name)."""
     up = ancestors(nodes, root, most)
     named = up.join(nodes.select(F.col("node").alias("ancestor"), "name", "rank"), "ancestor")

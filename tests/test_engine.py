@@ -206,3 +206,16 @@ def test_streamed_abundance_equals_the_batch(spark, tmp_path):
     q.stop()
     want = sketch.abundance(sketch.counts(reads, "id", "seq", P))
     assert rows(spark.table("abundance_stream"), "code", "abundance") == rows(want, "code", "abundance")
+
+
+def test_ancestors_without_a_bound(spark):
+    """A line of 100 nodes below the root, and a circle."""
+    rows = [(i, i - 1, "r", f"n{i}") for i in range(2, 102)]
+    nodes = spark.createDataFrame(rows, "node long, parent long, rank string, name string")
+    paths = {r["node"]: r["path"] for r in taxonomy.lineage_paths(nodes).collect()}
+    assert all(paths[i] == "|".join(map(str, range(2, i + 1))) for i in range(2, 102))
+    profile = spark.createDataFrame([(0, 101, 60.0), (0, 50, 40.0)], "sample int, taxon long, percentage double")
+    shares = {r["taxon"]: r["percentage"] for r in taxonomy.roll_up(profile, nodes).collect()}
+    assert shares == {i: 100.0 if i <= 50 else 60.0 for i in range(2, 102)}
+    with pytest.raises(ValueError):
+        taxonomy.ancestors(spark.createDataFrame([(2, 3), (3, 2)], "node long, parent long"))
