@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: ASCII white space: what parts words. Everything else belongs to a word.
@@ -16,7 +18,8 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: Bytes of text that are taken at once, so that a worker's arrays stay small beside its heap.
 CHUNK = 1 << 18
 
-_own_dirs: dict[str, str] = {}
+_tables: dict[str, list[str]] = {}
+_local: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,32 +27,68 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets a folder of
+    its own; a cluster has no folder that would do, so there it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="loomsketch-")
-    return "file://" + _own_dirs[app]
+    sc = spark.sparkContext
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if sc.applicationId not in _local:
+        _local[sc.applicationId] = tempfile.mkdtemp(prefix="loomsketch-")
+    return "file://" + _local[sc.applicationId]
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: its lineage ends there, and a lost executor costs no more than what comes after."""
+    """df, written as Parquet to the shared folder and read again: its lineage ends there, and a lost executor costs no more
+    than what comes after. The table goes when the application ends, or by `release`."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    top = f"{shared_dir(spark)}/loomsketch-{app}"
+    if app not in _tables:
+        _tables[app] = []
+        fs, where = _files(spark, top)
+        fs.deleteOnExit(where)
+    path = f"{top}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables[app].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession, keep: DataFrame) -> None:
+    """Removes every stored table but those that `keep` reads: what made it is not needed any more."""
+    app = spark.sparkContext.applicationId
+    used = [f.rsplit("/", 1)[0] for f in keep.inputFiles()]
+    for path in list(_tables.get(app, [])):
+        if not any(u.rstrip("/").endswith(path.rsplit("/", 1)[1]) for u in used):
+            fs, where = _files(spark, path)
+            fs.delete(where, True)
+            _tables[app].remove(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Removes the folder of a local session without spark.checkpoint.dir."""
+    path = _local.pop(spark.sparkContext.applicationId, None)
+    if path:
+        shutil.rmtree(path, ignore_errors=True)
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and its offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = column.fill_null(b"" if pa.types.is_binary(column.type) else "")
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, off, data = column.buffers()
+    if off is None:
+        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
     offsets = np.frombuffer(off, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
@@ -100,35 +139,78 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Roller:
-    """Hashes of all slices of a sequence from one running sum; odd factors can be divided out modulo 2**64."""
-
-    def __init__(self, factor: int):
-        self.factor = np.uint64(factor | 1)
-        self.inverse = np.uint64(pow(factor | 1, -1, 1 << 64))
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def grow(self, n: int) -> None:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size, f, np.uint64)])) for f in (self.factor, self.inverse))
-
-    def __call__(self, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        n = len(values)
-        self.grow(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * self.up[:n], out=total[1:])
-        return mix((total[end] - total[start]) * self.down[start] + (end - start).astype(np.uint64))
-
-
-_random = np.random.default_rng(20250117)
-BYTE_A, BYTE_B = _random.integers(1, 1 << 64, (2, 256), np.uint64, endpoint=False)
-ROLL_A, ROLL_B, ROLL_C, ROLL_D = (Roller(int(x)) for x in _random.integers(1 << 60, 1 << 64, 4, np.uint64, endpoint=False))
-
-
-def word_hashes(words: Words, lower: bool = False, second: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word's bytes (with A-Z as a-z if lower); `second` gives an independent one."""
-    buf = words.buf
-    if lower:
-        buf = np.where((buf >= 65) & (buf <= 90), buf + np.uint8(32), buf)
-    return (ROLL_B if second else ROLL_A)((BYTE_B if second else BYTE_A)[buf], words.start, words.end)
+#: Words of more bytes are hashed and compared one by one; others eight bytes of all words at a time.
+LANES = 8
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_SEED, _ODD, _STEP = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def lowered(buf: np.ndarray) -> np.ndarray:
+    """A-Z as a-z."""
+    return np.where((buf >= 65) & (buf <= 90), buf + np.uint8(32), buf)
+
+
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as one number; zeros follow the end."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray((len(buf) + 1,), "<u8", padded.data, 0, (1,))
+
+
+def word_hashes(words: Words, lower: bool = False) -> np.ndarray:
+    """A 64-bit hash of each word's bytes (with A-Z as a-z if lower). Eight bytes at a time go through `mix`, so that no
+    arrangement of letters cancels out, as it can in sums of powers."""
+    buf = lowered(words.buf) if lower else words.buf
+    eights, size = _eights(buf), words.end - words.start
+    h = mix(size.astype(np.uint64) * _ODD + _SEED)
+    h = mix(h ^ (eights[words.start] & _LOW[np.minimum(size, 8)]))
+    for k in range(1, LANES):
+        at = np.flatnonzero(size > 8 * k)
+        if not len(at):
+            break
+        h[at] = mix(h[at] ^ (eights[words.start[at] + 8 * k] & _LOW[np.minimum(size[at] - 8 * k, 8)]))
+    at = np.flatnonzero(size > 8 * LANES)
+    if len(at):
+        data = memoryview(np.ascontiguousarray(buf))
+        h[at] = [xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)]
+    return h
+
+
+def distinct_words(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Of the different words: one place each, and for every word the number of its like. Words with equal hashes are compared
+    byte by byte; should two differ, words are told apart by their bytes alone."""
+    h = word_hashes(words)
+    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+    own, like = np.arange(len(h)), first[inverse]
+    at = np.flatnonzero(own != like)
+    like, size, eights = like[at], words.end - words.start, _eights(words.buf)
+    fine = bool((size[at] == size[like]).all())
+    for k in range(LANES):
+        more = size[at] > 8 * k
+        if not fine or not more.any():
+            break
+        at, like = at[more], like[more]
+        low = _LOW[np.minimum(size[at] - 8 * k, 8)]
+        fine = bool(((eights[words.start[at] + 8 * k] & low) == (eights[words.start[like] + 8 * k] & low)).all())
+    if fine and len(at):
+        data, a, b = memoryview(np.ascontiguousarray(words.buf)), words.start.tolist(), words.end.tolist()
+        fine = all(data[a[i] : b[i]] == data[a[j] : b[j]] for i, j in zip(at.tolist(), like.tolist(), strict=True) if b[i] - a[i] > 8 * LANES)
+    if not fine:
+        data, seen, first = words.buf.tobytes(), {}, []
+        inverse = np.empty(len(h), np.int64)
+        for i, (a, b) in enumerate(zip(words.start.tolist(), words.end.tolist(), strict=True)):
+            inverse[i] = seen.setdefault(data[a:b], len(seen))
+            if inverse[i] == len(first):
+                first.append(i)
+        first = np.array(first, np.int64)
+    return first, inverse
+
+
+def runs(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
+    """A hash of every n neighbours, by doubling: each step mixes two shorter runs."""
+    if len(h) < n:
+        return np.zeros(0, np.uint64)
+    x, size = mix(h ^ np.uint64(seed)), 1
+    while size * 2 <= n:
+        x = mix(x[:-size] * _ODD + x[size:])
+        size *= 2
+    return mix(x[: len(x) - (n - size)] * _STEP + x[n - size :]) if n > size else x

@@ -1,12 +1,17 @@
 """Language-model scoring by a hashed maximum-entropy model (operator 7).
 
-The vocabulary is factored into CLASSES by frequency: P(w | context) = P(class | context) * P(w | class). The first factor is
-a softmax over the classes whose features are hashed into one table of weights: the word before, the two words before
-together, the word before that one alone (a skip), and the classes of both. The second is the word's share of its class.
-
-Counting covers all training tokens. Weights are trained by distributed gradient updates: every partition of the training
-texts runs AdaGrad over all of its tokens, and the partitions' weights are averaged by tokens. The most frequent words, at
-most HEAD, go to every task; the counts of all others are joined.
+The softmax over the vocabulary is factored: P(w | context) = P(class | context) * P(w | class, context). Classes group words
+by frequency. Inside a class, each word has a code of CODE bits and the second factor is a path of two-way softmaxes along
+the code, times the word's share of those with its code. Both factors have weights for n-gram and skip features of the
+context: the word before, the word before that one alone (a skip), and both together (an n-gram). Features are hashed with
+what they speak for, a class or a node of the code tree, into two tables of weights. The tables grow with the number of
+training tokens up to a documented bound, so that they always fit a worker.
+
+Counting covers all training tokens and is exact: words are counted by a 64-bit hash of their bytes. Weights are trained by
+distributed gradient updates: every partition of the training texts passes over all of its tokens, in batches, by gradients
+divided by the curvature seen so far, and the partitions' weights are averaged by the curvature behind each. Weights, and so
+`score`, therefore depend a little on how rows fall into partitions; counts, base_score and n_known do not. The most frequent
+words, at most HEAD, go to every task; the counts of all others are joined.
 """
 
 from __future__ import annotations
@@ -16,16 +21,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROLL_C, Words, buffers, chunks, mix, stored, table, word_hashes
-
-HEAD, CLASSES, ROWS = 1 << 17, 16, 1 << 14
-#: Tokens of one gradient update, and its step.
-BATCH, RATE = 1 << 14, 0.5
-#: Parts in which weights are sent and added up.
-SLICES = 16
+from .common import Words, buffers, chunks, mix, stored, table, word_hashes
+
+#: Words that go to every task, classes, and bits of a word's code.
+HEAD, CLASSES, CODE = 1 << 17, 8, 5
+#: Training tokens for each row of class weights and each node weight, and the least and most of either, as powers of two.
+TOKENS_A_ROW, ROWS, TOKENS_A_NODE, NODES = 1 << 11, (10, 17), 1 << 9, (14, 21)
+#: Tokens of one gradient update.
+BATCH = 1 << 16
+#: Step of an update, and the curvature that stands for the belief that a weight is 0.
+STEP, PRIOR = 0.5, 2.0
+#: Partitions that train at most, and parts in which their weights are sent and added up.
+TRAINERS, SLICES = 4096, 128
 SMOOTH = 0.1
+CERTAIN, _JUMP = 60.0, 18
 _END, _START = np.uint64(0x0E17D), np.uint64(0x57A27)
-FEATURES = 5
+_ODD, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+FEATURES = 3
 
 
 def sequences(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -37,11 +49,26 @@ def sequences(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return out, np.append(w.first[:-1] + np.arange(n), len(out))
 
 
+def contexts(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Hashes of each token's features: the word before, the one before that, and both."""
+    one, two = np.empty_like(h), np.empty_like(h)
+    one[1:], two[2:] = h[:-1], h[:-2]
+    first = begin[:-1]
+    second = first[begin[1:] - first > 1] + 1
+    one[first] = two[first] = two[second] = _START
+    a, b = mix(one + np.uint64(1)), mix(two + np.uint64(2))
+    return np.stack([a, b, mix(a * _ODD ^ b)])
+
+
+def _power(n: float, bounds: tuple[int, int]) -> int:
+    return 1 << int(np.clip(np.ceil(np.log2(max(n, 1))), *bounds))
+
+
 class Counts:
-    """The totals, the head of the vocabulary and the classes; small enough for every task."""
+    """The totals, the head of the vocabulary, its classes and codes; small enough for every task."""
 
     def __init__(self, head: np.ndarray, n: np.ndarray, bins: dict[int, tuple[int, int]], low: int, ends: int):
-        """head: sorted hashes with their counts n; bins: words and tokens by bin; low: the head's lowest bin."""
+        """head: hashes with their counts n; bins: words and tokens by bin; low: the head's lowest bin."""
         self.total = sum(t for _, t in bins.values()) + ends
         self.distinct = sum(w for w, _ in bins.values()) + (ends > 0)
         of_bin, mass, inner = {}, 0.0, CLASSES - 2
@@ -61,45 +88,107 @@ class Counts:
         self.hash, self.count = np.append(head[order], np.uint64(2**64 - 1)), np.append(n[order], 0).astype(float)
         self.klass = np.array([of_bin[int(b)] for b in np.floor(np.log2(np.maximum(self.count[:-1], 1)) * 8)] + [0], np.int64)
         self.ends = ends
-
-    def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The count (0: not in the head) and class of each token."""
-        at = np.searchsorted(self.hash, h)
-        at[at == len(self.hash)] = len(self.hash) - 1
+        # a class's mass by code; class 0, whose words no task knows, and the end have one code
+        self.leaf = np.zeros((CLASSES, 1 << CODE))
+        np.add.at(self.leaf, (self.klass[:-1], self.code(self.hash[:-1])), self.count[:-1] + SMOOTH)
+        for k in (0, -1):
+            self.leaf[k] = 0
+            self.leaf[k, 0] = self.mass[k]
+        # of node i of a class's code tree, the log odds that a path goes on to the right; CERTAIN where it has no choice
+        self.odds = np.zeros((CLASSES, 1 << CODE), np.float32)
+        for d in range(CODE):
+            left, right = np.moveaxis(self.leaf.reshape(CLASSES, 1 << d, 2, -1).sum(3), 2, 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                self.odds[:, 1 << d : 2 << d] = np.clip(np.nan_to_num(np.log(right / left), nan=0), -CERTAIN, CERTAIN)
+        with np.errstate(divide="ignore"):
+            self.share = np.log(self.mass / self.mass.sum()).astype(np.float32)
+        # the first place in `hash` that a hash with given top bits can have
+        self.jump = np.searchsorted(self.hash, np.arange(1 << _JUMP, dtype=np.uint64) << np.uint64(64 - _JUMP))
+        self.rows, self.nodes = _power(self.total / TOKENS_A_ROW, ROWS), _power(self.total / TOKENS_A_NODE, NODES)
+
+    @staticmethod
+    def code(h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - CODE)).astype(np.int64)
+
+    def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The count (0: not in the head), class and code of each token."""
+        at = self.jump[h >> np.uint64(64 - _JUMP)]
+        while (further := self.hash[at] < h).any():  # a few steps: hashes are spread evenly
+            at = at + further
         known = self.hash[at] == h
         count, klass = np.where(known, self.count[at], 0.0), np.where(known, self.klass[at], 0)
         end = h == _END
         if self.ends:
             count[end], klass[end] = self.ends, CLASSES - 1
-        return count, klass
-
-    def features(self, h: np.ndarray, klass: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """Rows of the table of weights for each token's context: tokens by FEATURES."""
-        one, two = np.empty_like(h), np.empty_like(h)
-        one[1:], two[2:] = h[:-1], h[:-2]
-        k1, k2 = np.zeros(len(h), np.uint64), np.zeros(len(h), np.uint64)
-        k1[1:], k2[2:] = klass[:-1], klass[:-2]
-        first = begin[:-1]
-        second = first[begin[1:] - first > 1] + 1
-        one[first] = two[first] = two[second] = _START
-        k1[first] = k2[first] = k2[second] = CLASSES
-        size = np.uint64(ROWS - 1)
-        return np.stack([np.zeros(len(h), np.uint64), mix(one + np.uint64(1)) & size, mix(one * np.uint64(0x9E3779B97F4A7C15) ^ mix(two)) & size, mix(two + np.uint64(2)) & size, mix(k1 * np.uint64(CLASSES + 1) + k2 + np.uint64(1 << 20)) & size], 1).astype(np.int64)
-
-    def log_classes(self, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Natural log of P(class | context); classes without a member have none."""
-        x = weights[rows[:, 0]]
-        for k in range(1, rows.shape[1]):
-            x = x + weights[rows[:, k]]
-        x[:, self.mass <= 0] = -np.inf
-        x -= x.max(1, keepdims=True)
-        return x - np.log(np.exp(x).sum(1, keepdims=True))
+        return count, klass, np.where((klass > 0) & (klass < CLASSES - 1), self.code(h), 0)
+
+
+class Model:
+    """Weights of classes (CLASSES by rows) and of nodes, each with the curvature behind it."""
 
-    def start(self) -> np.ndarray:
-        """Weights that give each class its share of the tokens."""
-        weights = np.zeros((ROWS, CLASSES), np.float32)
-        weights[0, self.mass > 0] = np.log(self.mass[self.mass > 0] / self.mass.sum())
-        return weights
+    def __init__(self, known: Counts):
+        self.known = known
+        self.w, self.curve = np.zeros((CLASSES, known.rows), np.float32), np.zeros((CLASSES, known.rows), np.float32)
+        self.node, self.bend = np.zeros(known.nodes, np.float32), np.zeros(known.nodes, np.float32)
+
+    def class_rows(self, f: np.ndarray) -> np.ndarray:
+        return (f >> np.uint64(20) & np.uint64(self.known.rows - 1)).astype(np.int64)
+
+    def log_classes(self, rows: np.ndarray) -> np.ndarray:
+        """Natural log of P(class | context); classes without a member have none."""
+        x = self.known.share[:, None] + sum(np.take(self.w, r, axis=1) for r in rows)
+        x -= x.max(0)
+        return x - np.log(np.exp(x).sum(0))
+
+    def path(self, f: np.ndarray, klass: np.ndarray, code: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of one step of each token's path: the direction, the log odds to the right, and the weights' places."""
+        node = klass << CODE | 1 << depth | code >> (CODE - depth)
+        places = ((f ^ (node + 1).astype(np.uint64) * _ODD) * _STEP >> np.uint64(65 - int(self.known.nodes).bit_length())).astype(np.int64)
+        x = self.known.odds.ravel()[node] + self.node[places[0]] + self.node[places[1]] + self.node[places[2]]
+        return code >> (CODE - 1 - depth) & 1, x, places
+
+    def update(self, f: np.ndarray, klass: np.ndarray, code: np.ndarray) -> None:
+        """One gradient update from a batch of tokens. The curvature of a class weight is taken at the class's overall share."""
+        rows = self.class_rows(f)
+        p = np.exp(self.log_classes(rows))
+        p[klass, np.arange(len(klass))] -= 1
+        share = np.exp(self.known.share)
+        self.curve += (share * (1 - share))[:, None] * np.bincount(rows.ravel(), minlength=self.known.rows).astype(np.float32)
+        sums = np.stack([sum(np.bincount(r, q, self.known.rows) for r in rows) for q in p])
+        self.w -= (STEP * sums / (PRIOR + self.curve)).astype(np.float32)
+        sums, bend = np.zeros(self.known.nodes), np.zeros(self.known.nodes)
+        for d in range(CODE):
+            right, x, places = self.path(f, klass, code, d)
+            p = 1 / (1 + np.exp(-x))
+            gap, curve = right - p, p * (1 - p)
+            for at in places:
+                sums += np.bincount(at, gap, self.known.nodes)
+                bend += np.bincount(at, curve, self.known.nodes)
+        self.bend += bend.astype(np.float32)
+        self.node += (STEP * sums / (PRIOR + self.bend)).astype(np.float32)
+
+    def log_words(self, f: np.ndarray, klass: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Natural log of P(class and code | context) of each token."""
+        out = self.log_classes(self.class_rows(f))[klass, np.arange(len(klass))].astype(float)
+        for d in range(CODE):
+            right, x, _ = self.path(f, klass, code, d)
+            out -= np.logaddexp(0, np.where(right == 1, -x, x).astype(float))
+        return out
+
+    def parts(self) -> list[bytes]:
+        """The curvatures, and the weights times them, cut into SLICES."""
+        cut = lambda x: np.split(np.ascontiguousarray(x).ravel(), SLICES)
+        return [np.concatenate(x).tobytes() for x in zip(*map(cut, (self.curve, self.curve * self.w, self.bend, self.bend * self.node)), strict=True)]
+
+    def load(self, parts: dict[int, bytes]) -> None:
+        """The averages of what `parts` of several models add up to."""
+        a, b = self.w.size // SLICES, self.node.size // SLICES
+        for i, data in parts.items():
+            x = np.frombuffer(data, np.float64)
+            curve, w, bend, node = np.split(x, [a, 2 * a, 2 * a + b])
+            self.w.ravel()[i * a : (i + 1) * a] = w / np.maximum(curve, 1e-9)
+            self.node[i * b : (i + 1) * b] = node / np.maximum(bend, 1e-9)
+        self.curve = self.bend = np.zeros(0, np.float32)
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -145,49 +234,37 @@ def gather(texts: DataFrame) -> tuple[DataFrame, Counts]:
     return counts, Counts(h.view(np.uint64), n, bins, low, texts.count())
 
 
-def train(texts: DataFrame, known: Counts) -> np.ndarray:
-    """The weights, averaged over partitions by tokens."""
+def train(texts: DataFrame, known: Counts) -> Model:
+    """The model, its weights averaged over partitions."""
 
     def run(batches):
-        w, g2, seen = known.start().astype(np.float32), np.full((ROWS, CLASSES), 1e-2, np.float32), 0
+        model, seen = Model(known), False
         for batch in batches:
             buf, off = buffers(batch.column(0))
             for a, b in chunks(off):
                 h, begin = sequences(buf, off[a : b + 1])
-                _, klass = known.look(h)
-                rows = known.features(h, klass, begin)
+                f = contexts(h, begin)
+                _, klass, code = known.look(h)
                 for i in range(0, len(h), BATCH):
-                    r, k = rows[i : i + BATCH], klass[i : i + BATCH]
-                    g = np.exp(known.log_classes(w, r))
-                    g[np.arange(len(k)), k] -= 1
-                    flat = r.T.ravel()
-                    touched = np.unique(flat)
-                    place = np.searchsorted(touched, flat)
-                    grad = np.stack([np.bincount(place, weights=np.tile(g[:, c], FEATURES), minlength=len(touched)) for c in range(CLASSES)], 1).astype(np.float32) / len(k)
-                    g2[touched] += grad * grad
-                    w[touched] -= RATE * grad / np.sqrt(g2[touched])
-                seen += len(h)
+                    model.update(f[:, i : i + BATCH], klass[i : i + BATCH], code[i : i + BATCH])
+                seen = True
         if seen:
-            parts = np.split(w * np.float32(1), SLICES)
-            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([float(seen)] * SLICES), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "seen", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(model.parts(), pa.binary())], ["slice", "w"])
 
     def add(batches):
-        total: dict[int, list] = {}
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for s, n, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                t = total.setdefault(s, [0.0, np.zeros(ROWS // SLICES * CLASSES)])
-                t[0] += n
-                t[1] += n * np.frombuffer(w, np.float32)
+            for s, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x = np.frombuffer(w, np.float32).astype(np.float64)
+                total[s] = total[s] + x if s in total else x
         if total:
-            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t[0] for t in total.values()]), pa.array([t[1].tobytes() for t in total.values()], pa.binary())], ["slice", "seen", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["slice", "w"])
 
-    schema = "slice int, seen double, w binary"
-    sums = texts.mapInArrow(run, schema).repartition(SLICES, "slice").mapInArrow(add, schema).collect()  # SLICES rows
-    weights = known.start()
-    for r in sums:
-        step = ROWS // SLICES
-        weights[r["slice"] * step : (r["slice"] + 1) * step] = (np.frombuffer(r["w"]) / r["seen"]).reshape(step, CLASSES)
-    return weights
+    schema = "slice int, w binary"
+    sums = texts.coalesce(TRAINERS).mapInArrow(run, schema).repartition("slice").mapInArrow(add, schema).collect()  # SLICES rows of bounded size
+    model = Model(known)
+    model.load({r["slice"]: bytes(r["w"]) for r in sums})
+    return model
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -200,7 +277,7 @@ def score(docs: DataFrame) -> DataFrame:
     held = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10) == 0
     texts = docs.filter(~held).select(F.col("text").cast("string").alias("text"))
     counts, known = gather(texts)
-    weights = train(texts, known)
+    model = train(texts, known)
     ten = np.log(10)
 
     def run(batches):
@@ -208,16 +285,15 @@ def score(docs: DataFrame) -> DataFrame:
             buf, off = buffers(batch.column(2))
             for a, b in chunks(off):
                 h, begin = sequences(buf, off[a : b + 1])
-                count, klass = known.look(h)
-                rows = known.features(h, klass, begin)
+                count, klass, code = known.look(h)
+                f = contexts(h, begin)
                 gain = np.zeros(len(h))
                 for i in range(0, len(h), BATCH):
-                    k = klass[i : i + BATCH]
-                    gain[i : i + BATCH] = known.log_classes(weights, rows[i : i + BATCH])[np.arange(len(k)), k]
+                    gain[i : i + BATCH] = model.log_words(f[:, i : i + BATCH], klass[i : i + BATCH], code[i : i + BATCH])
                 inside = count > 0
                 with np.errstate(divide="ignore"):
                     lead = np.where(inside, np.log10(count + SMOOTH), 0.0)
-                    gain = gain / ten - np.log10(known.mass)[klass] + lead
+                    gain = gain / ten - np.log10(known.leaf)[klass, code] + lead
                 add = lambda x, begin=begin: np.add.reduceat(x, begin[:-1])
                 rest = np.flatnonzero(~inside)
                 at = np.searchsorted(rest, begin)

@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Words, buffers, chunks, stored, table, word_hashes, ROLL_C
+from .common import Words, buffers, chunks, distinct_words, stored, table
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct", "n_upper", "n_letters", "n_digits", "n_punct", "n_shout"]
 
@@ -23,18 +24,26 @@ _TAIL = (np.arange(256) & 0xC0) == 0x80
 _KIND = (_SYMBOL + 2 * _UPPER + 4 * (_LOWER | _HIGH) + 8 * _DIGIT + 16 * _PUNCT + 32 * _TAIL).astype(np.uint8)
 
 
-def _groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each place, whether an equal key stands anywhere else and whether one stands before; the order is by place."""
-    order = np.argsort(key, kind="stable")
-    same = np.zeros(len(key) + 1, bool)
-    same[1:-1] = key[order[1:]] == key[order[:-1]]
-    again, earlier = np.zeros(len(key), bool), np.zeros(len(key), bool)
-    again[order], earlier[order] = same[:-1] | same[1:], same[:-1]
-    return again, earlier, order
+def _rank(key: np.ndarray) -> np.ndarray:
+    """Each number's place among the different numbers."""
+    return np.unique(key, return_inverse=True)[1]
+
+
+def _earlier(key: np.ndarray) -> np.ndarray:
+    """For each place, whether an equal number stands before it."""
+    out = np.ones(len(key), bool)
+    out[np.unique(key, return_index=True)[1]] = False
+    return out
+
+
+def duplicate_lines(text: bytes) -> tuple[int, int]:
+    """How many \n-split lines with a word there are, and how many of them equal an earlier one."""
+    lines = [x for x in text.split(b"\n") if x.strip()]
+    return len(lines), len(lines) - len(set(lines))
 
 
 def count_features(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """FEATURES of each text, from whole arrays of bytes."""
+    """FEATURES of each text, from whole arrays of bytes. Words and lines are compared by their bytes, windows by their words."""
     w = Words(buf, offsets)
     n, off = len(offsets) - 1, w.off
     inside, kind = w.inside, _KIND[w.buf]
@@ -47,58 +56,39 @@ def count_features(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray
     out = {"n_words": w.count, "n_symbols": per_text(kind & 1 > 0), "n_upper": per_text(kind & 2 > 0), "n_digits": per_text(kind & 8 > 0), "n_punct": per_text(kind & 16 > 0)}
     out["word_chars"] = per_text(inside & (kind & 32 == 0))
     out["n_letters"] = per_text((kind & 6 > 0) & (kind & 32 == 0))
-    h = word_hashes(w)
-    salt = ROLL_C(np.arange(1, n + 1, dtype=np.uint64), np.arange(n), np.arange(1, n + 1)) if n else np.zeros(0, np.uint64)
-    words = h ^ salt[w.text]
-    _, earlier, _ = _groups(words)
-    count = lambda at, mask=None: np.bincount(at if mask is None else at[mask], minlength=n)[:n].astype(np.int64)
-    out["n_distinct"] = count(w.text, ~earlier)
+    count = lambda at, mask: np.bincount(at[mask], minlength=n)[:n].astype(np.int64)
+    first, word = distinct_words(w)
+    size = max(1, len(first))
+    out["n_distinct"] = count(w.text, ~_earlier(w.text * size + word))
     # words in a window of three that is found twice or more in its text
-    repeat = np.zeros(len(h), bool)
-    if len(h) > 2:
-        at = np.arange(len(h) - 2)
-        whole = w.text[2:] == w.text[:-2]
-        at = at[whole]
-        again, _, _ = _groups(ROLL_C(h, at, at + 3) ^ salt[w.text[at]])
+    repeat = np.zeros(len(w), bool)
+    at = np.flatnonzero(w.text[2:] == w.text[:-2]) if len(w) > 2 else np.zeros(0, np.int64)
+    if len(at):
+        three = _rank(_rank(word[at] * size + word[at + 1]) * size + word[at + 2])
+        _, like, times = np.unique(w.text[at] * len(at) + three, return_inverse=True, return_counts=True)
+        again = at[times[like] > 1]
         for k in range(3):
-            repeat[at[again] + k] = True
+            repeat[again + k] = True
     out["n_repeat_words"] = count(w.text, repeat)
     out["n_shout"] = count(w.text, w.buf[w.end - 1] == 33)
-    # lines: parts between \n; only those with a word count
-    stop = w.buf == 10
-    stop_at = np.flatnonzero(stop)
-    line_start = np.unique(np.concatenate([off[:-1][off[:-1] < off[1:]], stop_at[stop_at + 1 < len(w.buf)] + 1]))
-    line_end = np.minimum(np.append(line_start[1:], len(w.buf)), len(w.buf)) if len(line_start) else line_start
-    text = np.searchsorted(off, line_start, "right") - 1
-    has = np.searchsorted(w.start, line_end) > np.searchsorted(w.start, line_start)
-    line_start, line_end, text = line_start[has], line_end[has], text[has]
-    line_end = line_end - stop[np.maximum(line_end - 1, 0)]
-    if len(line_start):
-        from .common import BYTE_A, ROLL_A
-
-        _, earlier, _ = _groups(ROLL_A(BYTE_A[w.buf], line_start, line_end) ^ salt[text])
-        out["n_dup_lines"] = count(text, earlier)
-    else:
-        out["n_dup_lines"] = np.zeros(n, np.int64)
-    out["n_lines"] = count(text)
+    data = w.buf.tobytes()
+    lines = np.array([duplicate_lines(data[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], np.int64).reshape(n, 2)
+    out["n_lines"], out["n_dup_lines"] = lines[:, 0], lines[:, 1]
     return out
 
 
-def features(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs, and FEATURES of its text under names that begin with __q_."""
-    once = "text" in keep and docs.schema["text"].dataType.simpleString() == "string"  # a text goes to Python once
-    at = keep.index("text") if once else len(keep)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*[F.col(f"`{k}`") for k in keep]).schema)
+@F.arrow_udf(StructType([StructField(k, LongType()) for k in FEATURES]))
+def _counted(text: pa.Array) -> pa.Array:
+    buf, off = buffers(text)
+    found = [count_features(buf, off[a : b + 1]) for a, b in chunks(off)]
+    return pa.StructArray.from_arrays([pa.array(np.concatenate([x[k] for x in found] or [np.zeros(0, np.int64)]), pa.int64()) for k in FEATURES], FEATURES)
 
-    def run(batches):
-        for batch in batches:
-            buf, off = buffers(batch.column(at))
-            found = [count_features(buf, off[a : b + 1]) for a, b in chunks(off)]
-            if found:
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(np.concatenate([x[k] for x in found])) for k in FEATURES)], [*keep, *(f"__q_{k}" for k in FEATURES)])
 
-    rows = docs.select(*[F.col(f"`{k}`") for k in keep], *([] if once else [F.col("text").cast("string").alias("__q_text")]))
-    return rows.mapInArrow(run, f"{kinds}{', ' if kinds else ''}{', '.join(f'__q_{k} long' for k in FEATURES)}")
+def features(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns `keep` of docs, and FEATURES of its text under names that begin with __q_. Python gets the texts alone and
+    gives back numbers; everything else stays in the JVM."""
+    rows = docs.select(*[F.col(f"`{k}`") for k in keep], _counted(F.col("text").cast("string")).alias("__q"))
+    return rows.select(*[F.col(f"`{k}`") for k in keep], *[F.col(f"__q.{k}").alias(f"__q_{k}") for k in FEATURES])
 
 
 def _q(name: str) -> Column:
@@ -192,11 +182,12 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose text is kept, with the columns of docs. Texts are counted twice, never shuffled."""
-    model = fit(stored(features(docs, []), "quality"))
+    """The rows of docs whose text is kept, with the columns of docs; nulls and repeated rows as by `judge`. Texts are counted
+    once and stored with their counts; the verdict is a filter on that table. Nothing is shuffled but patterns of votes."""
     names = docs.columns
-    *_, kept = verdict(*model)
-    return features(docs, names).filter(kept).select(*names)
+    found = stored(features(docs, names), "quality")
+    *_, kept = verdict(*fit(found))
+    return found.filter(kept).select(*[F.col(f"`{n}`") for n in names])
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

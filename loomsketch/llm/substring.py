@@ -1,13 +1,18 @@
 """Exact substring deduplication by fixed-block anchors (operator 3).
 
-Every document is cut into non-overlapping blocks of 25 words, which are the index; every rolling window of 25 words is a
-probe. A window of 50 words always holds a whole block, whatever its place, so a repeat of 50 words or more always has a
-probe that hits a block. Block and probe are both filed under their minimiser, the smallest hash of the 8-word runs inside
-them: equal blocks have equal minimisers, and neighbouring probes share theirs, so that ten windows make one row.
-
-Where a block's minimiser stands in two documents, the hit is extended word by word over windows of 50: each such window's
-128-bit hash is grouped, and the smallest document that holds it decides. Which words are covered follows. No pair of
-documents is ever made, so a passage that a third of all documents share costs each of them one row a window.
+Every document is cut into non-overlapping blocks of 25 words, which are the index, and every rolling window of 25 words is a
+probe. Both are filed under their anchor, the smallest hash of the 8-word runs inside them: equal windows have equal anchors,
+and neighbouring probes share theirs, so that some ten windows make one row. A block is a hit if another text has a probe
+under its anchor. A hit is extended to both sides, word by word, for as long as the probe there is shared with another text as
+well. A stretch of 50 words or more always holds a whole block, so every repeat of 50 words lies inside an extended hit.
+
+Extended hits are settled exactly: the 128-bit hash of each 50-word window in them is grouped, and the smallest document that
+holds it keeps it. Removed windows that touch make one maximal repeat.
+
+What is shared by many is never sent back to all who hold it. Groups are aggregated before they are shuffled, and each has one
+row to return, to its smallest document: an anchor that a single text has ("alone"), and a window that the document keeps.
+Everybody else finds by its absence what is shared and what goes. So a passage that a third of all documents hold makes no
+hot key in any join, and no pair of documents is ever made.
 """
 
 from __future__ import annotations
@@ -19,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CHUNK, ROLL_C, ROLL_D, Words, buffers, chunks, stored, table, texts, word_hashes
+from .common import Words, buffers, chunks, runs, stored, table, texts, word_hashes
 
 WINDOW, RUN = 50, 8
+#: What names a row: rows of one doc_id are told apart by a hash of their text.
+KEY = ["doc_id", "th"]
 
 
 def _least(x: np.ndarray, n: int) -> np.ndarray:
@@ -34,116 +41,157 @@ def _least(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def anchors(h: np.ndarray, block: int, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
-    """The minimiser of every rolling window of `block` words of one document with word hashes h, and those of its blocks."""
+    """The anchors of one document's rolling windows of `block` words, in turn, and how many windows in a row each has. The
+    document's blocks are the windows at multiples of `block`. Shorter blocks take shorter runs."""
+    run = min(run, block)
     if len(h) < block:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    at = np.arange(len(h) - run + 1)
-    probe = _least(ROLL_C(h, at, at + run), block - run + 1)
-    return probe, probe[::block]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    probe = _least(runs(h, run), block - run + 1).view(np.int64)
+    at = np.flatnonzero(np.append(True, probe[1:] != probe[:-1]))
+    return probe[at], np.diff(np.append(at, len(probe)))
 
 
-def _indexed(docs: DataFrame, window: int) -> DataFrame:
-    """doc_id, th, s1, s2 (a hash of the word sequence), n_words, sha (of all words joined) and the anchors of each document:
-    the minimiser's top 63 bits, with a last bit of 1 if one of its blocks has it."""
+def extended(h: np.ndarray, alone: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """The stretches of `window` words or more, as (first word, end), into which hits extend. A run of window - block + 1
+    shared probes holds a multiple of `block`, and so a block that is a hit."""
     block = window // 2
+    anchor, n = anchors(h, block)
+    shared = np.repeat(~np.isin(anchor, alone), n)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], shared.astype(np.int8), [0]])))
+    return [(a, b + block - 1) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if b + block - 1 - a >= window]
+
+
+def _each(batch: pa.RecordBatch, at: int):
+    """(row, word hashes, words' text) of each text in a column."""
+    buf, off = buffers(batch.column(at))
+    for x, y in chunks(off):
+        w = Words(buf, off[x : y + 1])
+        h = word_hashes(w)
+        for i in range(y - x):
+            yield x + i, h[w.first[i] : w.first[i + 1]]
 
-    def run(batches):
-        for batch in batches:
-            ids, (buf, off) = batch.column(0), buffers(batch.column(2))
-            whole = texts(batch.column(2))
-            known = ids.is_valid().to_numpy(zero_copy_only=False)
-            s1, s2, n, sha, found = [], [], [], [], []
-            for a, b in chunks(off):
-                w = Words(buf, off[a : b + 1])
-                h, g = word_hashes(w), word_hashes(w, second=True)
-                f0, f1 = w.first[:-1], w.first[1:]
-                s1.append(ROLL_C(h, f0, f1)), s2.append(ROLL_D(g, f0, f1)), n.append(w.count)
-                for i in range(b - a):
-                    u, v = w.first[i], w.first[i + 1]
-                    sha.append(hashlib.sha256(b" ".join(whole[a + i].split())).hexdigest())
-                    probe, own = anchors(h[u:v], block) if known[a + i] and v - u >= window else anchors(h[:0], block)
-                    found.append(np.unique((probe[np.flatnonzero(np.append(True, probe[1:] != probe[:-1]))] if len(probe) else probe) & ~np.uint64(1)))
-                    found[-1] = found[-1] | np.isin(found[-1], own & ~np.uint64(1)).astype(np.uint64)
-            if not len(ids):
-                continue
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(np.concatenate(found).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([ids, batch.column(1), pa.array(np.concatenate(s1).view(np.int64)), pa.array(np.concatenate(s2).view(np.int64)), pa.array(np.concatenate(n).astype(np.int64)), pa.array(sha), lists], ["doc_id", "th", "s1", "s2", "n_words", "sha", "anchors"])
-
-    return docs.mapInArrow(run, "doc_id long, th long, s1 long, s2 long, n_words long, sha string, anchors array<long>")
-
-
-def _windows(with_hits: DataFrame, window: int) -> DataFrame:
-    """doc_id, th, p, a, b: every window of `window` words, from word p, that holds a window filed under a hit anchor."""
-    block = window // 2
+
+def _indexed(rows: DataFrame, window: int) -> DataFrame:
+    """doc_id, th, n_words, sha (of the words joined by one space) and, of those that can lose words, the distinct anchors."""
 
     def run(batches):
         for batch in batches:
-            buf, off = buffers(batch.column(2))
-            hits, at_hit = batch.column(3).values.to_numpy(), batch.column(3).offsets.to_numpy()
-            for x, y in chunks(off, CHUNK >> 2):
-                w = Words(buf, off[x : y + 1])
-                h, g = word_hashes(w), word_hashes(w, second=True)
-                rows, place = [], []
-                for i in range(y - x):
-                    u, v = w.first[i], w.first[i + 1]
-                    probe, _ = anchors(h[u:v], block)
-                    hit = np.isin((probe & ~np.uint64(1)).view(np.int64), hits[at_hit[x + i] : at_hit[x + i + 1]])
-                    total = np.concatenate([[0], np.cumsum(hit)])
-                    p = np.arange(max(0, v - u - window + 1))
-                    p = p[total[p + window - block + 1] > total[p]]
-                    rows.append(np.full(len(p), x + i)), place.append(p + u)
-                rows, place = np.concatenate(rows), np.concatenate(place)
-                if len(rows):
-                    take = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in range(2)), pa.array((place - w.first[rows - x]).astype(np.int32)), pa.array(ROLL_C(h, place, place + window).view(np.int64)), pa.array(ROLL_D(g, place, place + window).view(np.int64))], ["doc_id", "th", "p", "a", "b"])
-
-    return with_hits.mapInArrow(run, "doc_id long, th long, p int, a long, b long")
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            sha = [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in texts(batch.column(2))]
+            n, found, size = [], [], [0]
+            for i, h in _each(batch, 2):
+                n.append(len(h))
+                own = np.unique(anchors(h, window // 2)[0]) if known[i] and len(h) >= window else np.zeros(0, np.int64)
+                found.append(own), size.append(size[-1] + len(own))
+            lists = pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(sha, pa.string()), lists], [*KEY, "n_words", "sha", "anchors"])
 
+    return rows.mapInArrow(run, "doc_id long, th long, n_words long, sha string, anchors array<long>")
 
-#: What names a row: rows of one doc_id are told apart by a hash of their text.
-KEY = ["doc_id", "th"]
 
+def _lists(column: pa.Array) -> list[np.ndarray | None]:
+    off, flat = column.offsets.to_numpy(), column.values.to_numpy()
+    return [flat[off[i] : off[i + 1]] if v else None for i, v in enumerate(column.is_valid().to_pylist())]
+
+
+def _windows(joined: DataFrame, doc: str, text: int, alone: int, window: int) -> DataFrame:
+    """(a, b, doc_id) of the different windows inside extended hits."""
+    names = joined.columns
+    at = names.index(doc)
+
+    def run(batches):
+        for batch in batches:
+            lone = _lists(batch.column(alone))
+            rows, a, b = [], [], []
+            for i, h in _each(batch, text):
+                if lone[i] is None:
+                    continue
+                for u, v in extended(h, lone[i], window):
+                    x, first = np.unique(runs(h[u:v], window, 1), return_index=True)
+                    rows.append(np.full(len(x), i)), a.append(x), b.append(runs(h[u:v], window, 2)[first])
+            if rows:
+                take = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(z).view(np.int64)) for z in (a, b)), batch.column(at).take(take)], ["a", "b", "doc_id"])
+
+    return joined.mapInArrow(run, "a long, b long, doc_id long")
+
+
+def _removed(h: np.ndarray, alone: np.ndarray, kept: np.ndarray | None, window: int) -> list[tuple[int, int]]:
+    """The maximal repeats (first word, end) that go: of windows inside extended hits, those that the document doesn't keep."""
+    gone = np.zeros(len(h) + 1, np.int64)
+    for u, v in extended(h, alone, window):
+        lost = u + np.flatnonzero(~np.isin(runs(h[u:v], window, 1).view(np.int64), [] if kept is None else kept))
+        np.add.at(gone, lost, 1)
+        np.add.at(gone, lost + window, -1)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(gone[:-1]) > 0).astype(np.int8), [0]])))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+
+
+class Repeats:
+    """What the documents of a table share. `docs` has doc_id (long), th and text (string) under the names given, and any other
+    columns; `rows` is "left" to keep every row of it in `joined`, or "inner" for those alone that may lose words.
+
+    index: a stored row for each row of docs; leaders: (doc_id, sha) of the smallest document of each sequence of words;
+    joined: docs with the anchors that its text has alone; kept: the windows that each document keeps.
+    """
 
-def named(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-
-
-def repeats(text: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """Of a table of doc_id, th and text: a stored table of every row's doc_id, th, n_words and sha, and one of doc_id, th
-    and `cut`, the places at which removed windows start (null: all words go), for each document that loses words."""
-    index = stored(_indexed(text, window), "anchors")
-    every = index.select(*KEY, "n_words", "sha")
-    long = index.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
-    # of documents with the same words the first stands for all: the others have nothing that it lacks
-    same = ["s1", "s2", "n_words"]
-    first = long.groupBy(*same).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select(*same, "first")
-    copies = stored(long.select(*KEY, *same).join(first, same).filter("doc_id > first").select(*KEY).distinct(), "copies")
-    rows = long.select(*KEY, "s1", F.explode("anchors").alias("m"))
-    of_block, k = F.col("m").bitwiseAND(F.lit(1)) == 1, F.col("m").bitwiseAND(F.lit(-2))
-    # blocks that stand in documents of different words
-    shared = rows.groupBy(k.alias("k")).agg(F.min(F.when(of_block, F.col("doc_id"))).alias("block"), F.max("doc_id").alias("last"), F.min("s1").alias("x"), F.max("s1").alias("y"))
-    shared = shared.filter("block < last AND x <> y").select("k")
-    hits = rows.select(*KEY, k.alias("k")).join(shared, "k", "left_semi").groupBy(*KEY).agg(F.collect_set("k").alias("hits"))
-    hits = stored(hits.join(copies, KEY, "left_anti"), "hits")
-    found = stored(_windows(text.join(hits, KEY).select(*KEY, "text", "hits"), window), "windows")
-    least = found.groupBy("a", "b").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("a", "b", "least")
-    cut = found.join(least, ["a", "b"]).filter("least < doc_id").groupBy(*KEY).agg(F.collect_set("p").alias("cut"))
-    whole = copies.select(*KEY, F.lit(None).cast("array<int>").alias("cut"))
-    return every, stored(cut.unionAll(whole), "cuts")
-
-
-def remaining(text: bytes, cut: np.ndarray | None, window: int = WINDOW) -> tuple[int, bytes]:
-    """How many words windows at `cut` cover (None: all of them), and the others joined by one space."""
+    def __init__(self, docs: DataFrame, window: int = WINDOW, names: tuple[str, str, str] = ("doc_id", "th", "text"), rows: str = "inner"):
+        doc, th, text = names
+        self.window, self.names = window, docs.columns
+        self.index = index = stored(_indexed(docs.select(F.col(doc).alias("doc_id"), F.col(th).alias("th"), F.col(text).alias("text")), window), "anchors")
+        long = index.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
+        # of documents with the same words the first stands for all: the others have nothing that it lacks
+        self.leaders = long.groupBy("sha").agg(F.min("doc_id").alias("doc_id"))
+        by_anchor = long.select(*KEY, F.explode("anchors").alias("k")).groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.min("th").alias("th"), F.max("th").alias("other"))
+        alone = by_anchor.filter(F.col("th") == F.col("other")).groupBy(*KEY).agg(F.collect_list("k").alias("alone"))
+        leading = long.join(self.leaders, ["doc_id", "sha"], "left_semi").select(*KEY, F.size("anchors").alias("n")).distinct()
+        none = F.array().cast("array<long>")
+        self.candidates = leading.join(alone, KEY, "left").select(*KEY, "n", F.coalesce("alone", none).alias("alone")).filter(F.size("alone") < F.col("n")).select(*KEY, "alone")
+        side = self.candidates.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__hash"), F.col("alone").alias("__alone"))
+        on = (F.col(doc) == F.col("__doc")) & (F.col(th) == F.col("__hash"))
+        self.joined = docs.join(side, on, rows).select(*[F.col(f"`{n}`") for n in docs.columns], "__alone")
+        found = _windows(self.joined, doc, docs.columns.index(text), len(docs.columns), window)
+        keepers = found.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("a").alias("kept"))
+        self.kept = self.candidates.select(*KEY).join(keepers, "doc_id").select(*KEY, "kept")
+
+    def copies(self) -> DataFrame:
+        """doc_id and th of the rows that lose all their words to a smaller document with the same words."""
+        long = self.index.filter(F.col("doc_id").isNotNull() & (F.col("n_words") >= self.window))
+        return long.join(self.leaders, ["doc_id", "sha"], "left_anti").select(*KEY)
+
+
+def without(text: bytes, gone: list[tuple[int, int]]) -> tuple[int, bytes]:
+    """How many words stand in the stretches, and the others joined by one space."""
     words = text.split()
-    if cut is None:
-        return len(words), b""
-    edge = np.zeros(len(words) + 1, np.int64)
-    np.add.at(edge, cut, 1)
-    np.add.at(edge, cut + window, -1)
-    keep = np.cumsum(edge[:-1]) == 0
+    keep = np.ones(len(words), bool)
+    for a, b in gone:
+        keep[a:b] = False
     return int(len(words) - keep.sum()), b" ".join([w for w, k in zip(words, keep.tolist(), strict=True) if k])
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
+def _settled(docs: DataFrame, window: int) -> tuple[Repeats, DataFrame]:
+    """The repeats of docs, and (doc_id, th, n_words, n_removed, kept_sha256, starts, ends) of each row that may lose words."""
+    found = Repeats(_named(docs), window)
+    both = found.joined.alias("j").join(found.kept.alias("k"), KEY, "left").select(*KEY, "text", "__alone", "kept")
+
+    def run(batches):
+        for batch in batches:
+            lone, kept, whole = _lists(batch.column(3)), _lists(batch.column(4)), texts(batch.column(2))
+            total, n, sha, starts, ends = [], [], [], [], []
+            for i, h in _each(batch, 2):
+                gone = _removed(h, lone[i], kept[i], window)
+                lost, rest = without(whole[i], gone)
+                total.append(len(h)), n.append(lost), sha.append(hashlib.sha256(rest).hexdigest()), starts.append([a for a, _ in gone]), ends.append([b for _, b in gone])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(total, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64()))], [*KEY, "n_words", "n_removed", "kept_sha256", "starts", "ends"])
+
+    return found, both.mapInArrow(run, "doc_id long, th long, n_words long, n_removed long, kept_sha256 string, starts array<long>, ends array<long>")
+
+
 def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row.
 
@@ -152,50 +200,58 @@ def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     not make each other lose words; repeated rows each give a row. Texts of fewer than 50 words are kept. An empty table
     gives no rows; other columns are ignored.
     """
-    text = named(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    every, cuts = repeats(text, window)
+    found, settled = _settled(docs, window)
+    rest = found.index.join(found.candidates.select(*KEY), KEY, "left_anti")
+    rest = rest.join(found.leaders.withColumn("leads", F.lit(True)), ["doc_id", "sha"], "left")
+    copy = F.col("leads").isNull() & F.col("doc_id").isNotNull() & (F.col("n_words") >= window)
+    nothing = hashlib.sha256(b"").hexdigest()
+    rest = rest.select("doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(0).alias("n_removed"), F.when(copy, nothing).otherwise(F.col("sha")).alias("kept_sha256"))
+    return settled.select("doc_id", "n_words", "n_removed", "kept_sha256").unionAll(rest)
 
-    def run(batches):
-        for batch in batches:
-            off, places = batch.column(3).offsets.to_numpy(), batch.column(3).values.to_numpy()
-            n, sha = [], []
-            for i, t in enumerate(texts(batch.column(2))):
-                k, rest = remaining(t, places[off[i] : off[i + 1]], window)
-                n.append(k), sha.append(hashlib.sha256(rest).hexdigest())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(sha, pa.string())], [*KEY, "n_removed", "cut_sha"])
 
-    lost = text.join(cuts.filter("cut IS NOT NULL"), KEY).select(*KEY, "text", "cut").mapInArrow(run, "doc_id long, th long, n_removed long, cut_sha string").dropDuplicates(KEY)
-    gone = cuts.filter("cut IS NULL").select(*KEY, F.lit(-1).cast("long").alias("n_removed"), F.lit(hashlib.sha256(b"").hexdigest()).alias("cut_sha"))
-    out = every.join(lost.unionAll(gone), KEY, "left")
-    n = F.when(F.col("n_removed") < 0, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long")))
-    return out.select("doc_id", "n_words", n.alias("n_removed"), F.coalesce("cut_sha", "sha").alias("kept_sha256"))
+def passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, start and n_words of every maximal repeat that `removed` takes out, in words of the text; nulls as there. A row
+    whose words all stand in a smaller document gives one passage, its whole text."""
+    found, settled = _settled(docs, window)
+    some = settled.select("doc_id", F.explode(F.arrays_zip("starts", "ends")).alias("z")).select("doc_id", F.col("z.starts").alias("start"), (F.col("z.ends") - F.col("z.starts")).alias("n_words"))
+    return some.unionAll(found.index.join(found.copies(), KEY, "left_semi").select("doc_id", F.lit(0).cast("long").alias("start"), "n_words"))
 
 
 def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without the words that repeat; a text that loses words keeps the others, joined by one space, and its n_chars."""
+    """docs without the words that repeat; a text that loses words keeps the others, joined by one space, and its n_chars.
+
+    Rows, nulls and repeats are taken as by `removed`: every row stays, one that loses all its words with an empty text. Both
+    uses of the texts share one shuffle.
+    """
     kind, names = docs.schema["doc_id"].dataType, docs.columns
-    keyed = docs.withColumns({"text": F.col("text").cast("string"), "doc_id": F.col("doc_id").cast("long"), "__th": F.xxhash64(F.col("text").cast("string"))})
-    _, cuts = repeats(keyed.select("doc_id", F.col("__th").alias("th"), "text"), window)
-    cuts = cuts.select("doc_id", F.col("th").alias("__th"), F.col("cut").alias("__cut"), F.lit(True).alias("__lost"))
-    both = keyed.join(cuts, ["doc_id", "__th"], "left").select(*[F.col(f"`{n}`") for n in names], "__lost", "__cut")
-    at, lost = names.index("text"), len(names)
+    text = F.col("text").cast("string")
+    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64(text), "__text": text})
+    found = Repeats(keyed, window, ("__id", "__th", "__text"), "left")
+    changed = found.kept.select(*KEY, "kept", F.lit(False).alias("copy")).unionAll(found.copies().distinct().select(*KEY, F.lit(None).cast("array<long>").alias("kept"), F.lit(True).alias("copy")))
+    changed = changed.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__hash"), F.col("kept").alias("__kept"), F.col("copy").alias("__copy"))
+    both = found.joined.join(changed, (F.col("__id") == F.col("__doc")) & (F.col("__th") == F.col("__hash")), "left")
+    own = [n for n in names if n != "text"]
+    both = both.select(*[F.col(f"`{n}`") for n in own], "__text", "__alone", "__kept", "__copy")
+    at = len(own)
 
     def run(batches):
         for batch in batches:
-            text, cut = batch.column(at).cast(pa.binary()).to_pylist(), batch.column(lost + 1)
-            off, flat, none = cut.offsets.to_numpy(), cut.values.to_numpy(), cut.is_null().to_numpy(zero_copy_only=False)
-            for i, x in enumerate(batch.column(lost).to_pylist()):
-                if x:
-                    text[i] = remaining(text[i] or b"", None if none[i] else flat[off[i] : off[i + 1]], window)[1]
-            columns = list(batch.columns[: lost + 1])
-            columns[at] = pa.array(text, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(columns, [*names, "__lost"])
-
-    kinds = ", ".join(f"`{n}` {keyed.schema[n].dataType.simpleString()}" for n in names)
-    out = both.mapInArrow(run, f"{kinds}, __lost boolean")
+            lone, kept, copy, whole = _lists(batch.column(at + 1)), _lists(batch.column(at + 2)), batch.column(at + 3).to_pylist(), batch.column(at).cast(pa.binary()).to_pylist()
+            lost = np.zeros(len(whole), bool)
+            for i, h in _each(batch, at):
+                if copy[i]:
+                    whole[i], lost[i] = b"", True
+                elif lone[i] is not None:
+                    gone = _removed(h, lone[i], kept[i], window)
+                    if gone:
+                        whole[i], lost[i] = without(whole[i], gone)[1], True
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(whole, pa.binary()).cast(pa.string()), pa.array(lost)], [*own, "__text", "__lost"])
+
+    kinds = ", ".join(f"`{n}` {keyed.schema[n].dataType.simpleString()}" for n in own)
+    out = both.mapInArrow(run, f"{kinds}{', ' if kinds else ''}__text string, __lost boolean")
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("__lost"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.withColumn("doc_id", F.col("doc_id").cast(kind)).select(*names)
+        out = out.withColumn("n_chars", F.when(F.col("__lost"), F.length("__text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind)).withColumn("text", F.col("__text").cast(docs.schema["text"].dataType)).select(*names)
 
 
 def op3_block_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

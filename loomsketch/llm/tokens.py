@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
-from .common import Words, buffers, chunks, table, word_hashes
+from .common import Words, buffers, chunks, distinct_words, table
 
 #: Characters that NFC leaves alone, that are no space, and that are lower-cased one by one into such characters.
 _PLAIN = "".join(chr(c) for c in [*range(0x21, 0x7F), *range(0xA1, 0x250)] if len(chr(c).lower()) == 1 and ord(chr(c).lower()) < 0x250)
-#: Words of more bytes are merged by the library's model, whose time is nearly linear in their length.
+#: Words of more bytes are merged by the library's model, whose time is nearly linear in their length; the ids are the same.
 LONG = 64
 #: Byte-level symbols: bytes that are not printable in Latin-1 are moved beyond it.
 _SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -135,7 +135,7 @@ class ForcedBoundaryEncoder:
         White space cuts texts into words; the distinct words among them are encoded together, then each takes its ids.
         """
         w = Words(buf, offsets)
-        h, first, inverse = np.unique(word_hashes(w), return_index=True, return_inverse=True)
+        first, inverse = distinct_words(w)
         ids, count = self._distinct(w.buf, w.start[first], w.end[first])
         begin = np.concatenate([[0], np.cumsum(count)])
         n = count[inverse]

@@ -16,6 +16,22 @@ def lowered(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
 
 
+def thue_morse(n, zero, one):
+    """Two sequences of n parts, complements of each other. Sums of powers of any odd number modulo 2**64 take them for equal
+    from a length of 1024 on."""
+    bits = [i.bit_count() & 1 for i in range(n)]
+    return [[one if b else zero for b in bits], [zero if b else one for b in bits]]
+
+
+def alike_rows():
+    """Texts that differ, but that weak hashes take for equal: words, lines and documents."""
+    rows = []
+    for n in (1024, 2048):
+        x, y = ("".join(z) for z in thue_morse(n, "a", "b"))
+        rows += [f"{x} {y}", f"{y} {x} {y}", f"{x}\n{y}", " ".join([x] * 60), " ".join([y] * 60), *(" ".join(z) for z in thue_morse(n, "yes", "no"))]
+    return rows
+
+
 def odd_rows():
     line = " ".join(f"word{i % 37} Other{i % 11}" for i in range(90))
     texts = [
@@ -23,6 +39,7 @@ def odd_rows():
         "mail a.b@c.de and a@b.c_d@e.f or x@y, call +49 (30) 123-456-78 or +1-2; 10.0.0.1 1.2.3.4.5.6.7.8 256.1.1.1 007.08.9.255", "4111 1111 1111 1111 and 4111-1111-1111-1112, 378282246310005 5500005555555559 1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7 8 9 0",
         "Same line\nSame line\n\nother\r\nSame line \nSame line", "<|endoftext|> don't STOP <|startoftext|>x ''s 12345 ½ é é", "a\0b c", "#*$ %& | <> " * 30, "\n".join(["one two three four"] * 40), "Ä" * 5000, "verylong" * 9000,
     ]
+    texts += alike_rows()
     rows = [(1_000_000 + i, t, ["en", None, "de"][i % 3], None if i % 4 == 0 else "s", None if t is None else len(t)) for i, t in enumerate(texts)]
     return [*rows, (None, line, None, None, None), (None, None, None, None, None), (1_000_005, line, "en", "s", len(line)), (1_000_005, "another text for the same id", "en", "s", 1), rows[6]]
 
