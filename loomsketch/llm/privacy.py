@@ -33,6 +33,8 @@ SUPPORT, GENERALISE, REMOVE = 3, 0.8, 0.95
 #: Characters of a piece of text: a power of two.
 PIECE_BITS = 10
 PIECE = 1 << PIECE_BITS
+#: Parts an entity from a term; neither holds it.
+_BREAK = "\u0001"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 _WORD = r"[\p{L}\p{M}]{3,}"
 
@@ -136,7 +138,7 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def mentions(found: DataFrame) -> DataFrame:
-    """(doc_id, th, e, t): the terms t up to NEAR words to either side of each mention of e, however long they are."""
+    """(th, e, t), once for each row of found: the terms t up to NEAR words to either side of a mention of e, however long."""
 
     def near(w: Column, z: Column, n: Column) -> Column:
         terms = F.concat(F.slice(w, F.greatest(n - NEAR, F.lit(0)) + 1, F.least(n, F.lit(NEAR))), F.slice(w, n + 1, NEAR))
@@ -150,15 +152,18 @@ def mentions(found: DataFrame) -> DataFrame:
         rank = F.transform(mine, lambda y, i: y["j"] - i)
         return _let(F.transform(w, lambda z: F.lower(z["value"])), lambda v: F.transform(F.arrays_zip(base.alias("z"), rank.alias("n")), lambda y: near(v, y["z"], y["n"])))
 
-    by_mention = found.select("doc_id", "th", F.explode(_let(_spans(F.col("masked"), _WORD), lambda w: beside(w, F.col("base")))).alias("m"))
-    return by_mention.select("doc_id", "th", F.col("m.e").alias("e"), F.explode("m.t").alias("t"))
+    # a pair counts once for each row; as one string, which array_distinct takes in linear time
+    pairs = lambda m: F.transform(m["t"], lambda t: F.concat(m["e"], F.lit(_BREAK), t))
+    of_row = F.array_distinct(F.flatten(_let(_spans(F.col("masked"), _WORD), lambda w: F.transform(beside(w, F.col("base")), pairs))))
+    parts = F.split(F.col("p"), _BREAK)
+    return found.select("th", F.explode(of_row).alias("p")).select("th", parts[0].alias("e"), parts[1].alias("t"))
 
 
 def disclosing(docs: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
     """(e, t, kind) of the terms that disclose too much; kind is their place in KINDS.
 
-    Counts are of documents in the whole table. SUPPORT is of different texts: a text that is copied a thousand times is
-    evidence once.
+    Counts are of rows in the whole table, all four of them, so that a table that is repeated as a whole gives the same shares.
+    SUPPORT is of different texts: a text that is copied a thousand times is evidence once.
     """
     joint = pairs.groupBy("e", "t").agg(F.count("*").alias("n_et"), F.count_distinct("th").alias("texts")).filter(F.col("texts") >= SUPPORT)
     entities = found.select(F.explode(F.array_distinct(F.transform("base", lambda z: _entity(z["kind"], z["value"])))).alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
@@ -192,8 +197,7 @@ def analysed(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("base", base_spans(F.col("text")))
     found = stored(rows.select("doc_id", "th", "base", *[F.when(F.size("base") > 0, c).alias(k) for k, c in (("text", F.col("text")), ("masked", masked(F.col("text"), F.col("base"))))]), "personal")
     with_any = found.filter(F.size("base") > 0)
-    pairs = stored(mentions(with_any).distinct(), "mentions")
-    terms = stored(disclosing(docs, with_any, pairs), "disclosing")
+    terms = stored(disclosing(docs, with_any, mentions(with_any)), "disclosing")
     of_kind = lambda k: F.collect_set(F.when(F.col("kind") == KINDS.index(k), F.col("t"))).alias(k)
     by_entity = terms.groupBy("e").agg(of_kind("generalise"), of_kind("remove"))
     entities = with_any.select("doc_id", "th", F.explode(F.array_distinct(F.transform("base", lambda z: _entity(z["kind"], z["value"])))).alias("e")).distinct()
