@@ -6,6 +6,8 @@ adds how far its rank is out of place, or the most there is if the language's pr
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,43 +17,55 @@ from .common import buffers, chunks, table
 
 #: N-grams in a profile.
 SIZE = 300
-_BITS = 14
-_UNIT = 1 << _BITS
-#: Code of each letter up to U+FFFF: its code point, folded into 14 bits; 0 is no letter.
-_LETTER = np.array([(c if c < _UNIT else 0x2000 + c % 0x2000) if chr(c).isalpha() else 0 for c in range(1 << 16)], np.uint64)
+#: Bits of a code point: an n-gram's code is its up to three code points side by side, with 1 for a word boundary.
+_POINT = 21
 
 
-def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letter codes of lower-cased texts, one after the other with a 0 before and behind each, and each code's text."""
-    whole = "\0" + "\0".join(texts) + "\0"
-    points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-    high = points > 0xFFFF
-    code = _LETTER[np.where(high, 0, points)]
-    for at in np.flatnonzero(high):
-        code[at] = 0x2000 + int(points[at]) % 0x2000 if chr(points[at]).isalpha() else 0
-    lengths = np.array([len(t) for t in texts], np.int64) + 1
-    text = np.repeat(np.arange(len(texts)), lengths)
-    return code, np.append(text, len(texts) - 1)
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, n-gram, count) of the n-grams of 1 to 3 letters of each text, with word boundaries; sorted by text and n-gram."""
-    code, text = codes(texts)
+    """(text, n-gram, count) of the n-grams of 1 to 3 letters of each text, with word boundaries; sorted by text and n-gram.
+
+    Letters are numbered by the alphabet of these texts, so that text and n-gram fit one number for the sort; where they
+    don't, texts are taken in halves.
+    """
+    whole = "\0" + "\0".join(texts) + "\0"
+    points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+    seen = np.zeros(int(points.max()) + 1, bool)
+    seen[points] = True
+    alphabet = np.flatnonzero(seen & _letters()[: len(seen)])
+    bits = (len(alphabet) + 1).bit_length()
+    if len(texts) > 1 and len(texts).bit_length() + 3 * bits > 64:
+        half = len(texts) // 2
+        left, right = ngrams(texts[:half]), ngrams(texts[half:])
+        return np.concatenate([left[0], right[0] + half]), np.concatenate([left[1], right[1]]), np.concatenate([left[2], right[2]])
+    number = np.ones(len(seen), np.uint64)
+    number[alphabet] = np.arange(2, len(alphabet) + 2)
+    code = number[points]
+    text = np.append(np.repeat(np.arange(len(texts)), [len(t) + 1 for t in texts]), len(texts) - 1)
+    letter = code > 1
     keep = np.ones(len(code), bool)
-    keep[:-1] = (code[:-1] > 0) | (code[1:] > 0)  # of a run of other characters the last is the boundary: it stands in the text whose letter follows
-    code, text = code[keep], text[keep].astype(np.uint64) << np.uint64(3 * _BITS)
-    s1, s2 = np.uint64(_BITS), np.uint64(2 * _BITS)
-    one = (code | text)[code > 0]
-    two = ((code[:-1] << s1) | code[1:] | text[:-1])[(code[:-1] > 0) | (code[1:] > 0)]
-    three = ((code[:-2] << s2) | (code[1:-1] << s1) | code[2:] | text[:-2])[code[1:-1] > 0]
-    # text of a gram that begins at a boundary is that of the letter after it
+    keep[:-1] = letter[:-1] | letter[1:]  # of a run of other characters the last is the boundary: it stands in the text whose letter follows
+    code, letter, text = code[keep], letter[keep], text[keep].astype(np.uint64) << np.uint64(3 * bits if len(texts) > 1 else 0)
+    if len(texts) == 1:
+        text[:] = 0
+    s1, s2 = np.uint64(bits), np.uint64(2 * bits)
+    one = (code | text)[letter]
+    # the text of an n-gram that ends or begins at a boundary is that of its letter
+    two = ((code[:-1] << s1) | code[1:] | np.where(letter[:-1], text[:-1], text[1:]))[letter[:-1] | letter[1:]]
+    three = ((code[:-2] << s2) | (code[1:-1] << s1) | code[2:] | text[1:-1])[letter[1:-1]]
     allg = np.concatenate([one, two, three])
     allg.sort()
     new = np.ones(len(allg), bool)
     new[1:] = allg[1:] != allg[:-1]
     at = np.flatnonzero(new)
-    value = allg[at]
-    return (value >> np.uint64(3 * _BITS)).astype(np.int64), value & np.uint64((1 << 3 * _BITS) - 1), np.diff(np.append(at, len(allg)))
+    value, name, low = allg[at], np.concatenate([[0, 1], alphabet]).astype(np.uint64), np.uint64((1 << bits) - 1)
+    gram = name[value & low] | name[value >> s1 & low] << np.uint64(_POINT) | name[value >> s2 & low] << np.uint64(2 * _POINT)
+    return (value >> np.uint64(3 * bits)).astype(np.int64) if len(texts) > 1 else np.zeros(len(value), np.int64), gram, np.diff(np.append(at, len(allg)))
 
 
 def _lowered(column: pa.Array):
@@ -73,10 +87,12 @@ def learn(docs: DataFrame, size: int = SIZE) -> dict[str, np.ndarray]:
             for a, texts in _lowered(batch.column(0)):
                 text, gram, n = ngrams(texts)
                 names, at = np.unique(langs[a : a + len(texts)].astype(str), return_inverse=True)
-                key = (at[text].astype(np.uint64) << np.uint64(3 * _BITS)) | gram
-                key, inverse = np.unique(key, return_inverse=True)
-                total = np.bincount(inverse, weights=n, minlength=len(key)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(names[(key >> np.uint64(3 * _BITS)).astype(np.int64)].astype(object), pa.string()), pa.array((key & np.uint64((1 << 3 * _BITS) - 1)).astype(np.int64)), pa.array(total)], ["lang", "gram", "n"])
+                lang = at[text]
+                order = np.lexsort((gram, lang))
+                lang, gram, n = lang[order], gram[order], n[order]
+                first = np.flatnonzero(np.append(True, (lang[1:] != lang[:-1]) | (gram[1:] != gram[:-1]))) if len(gram) else np.zeros(0, np.int64)
+                total = np.add.reduceat(n, first) if len(first) else n
+                yield pa.RecordBatch.from_arrays([pa.array(names[lang[first]].astype(object), pa.string()), pa.array(gram[first].astype(np.int64)), pa.array(total, pa.int64())], ["lang", "gram", "n"])
 
     known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(F.col("text").cast("string"), F.col("lang").cast("string"))
     counts = known.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))

@@ -5,6 +5,7 @@ from hypothesis import HealthCheck, given as drawn, settings, strategies as st
 
 from loomsketch.llm import privacy
 
+from . import brute as plain
 from .conftest import rows_of, same
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -104,6 +105,15 @@ def test_terms_at_the_edges_without_spaces_and_far_in_characters(spark):
         assert out[10 * i + 2]["sanitised"] == f"{i}  {long} [EMAIL] {long}  {i}" and out[10 * i + 3]["sanitised"] == f":<[EMAIL]> {i}"
 
 
+def test_all_spans_and_texts_equal_brute_force(docs, given):
+    """The method's spans as well, and the text with all of them replaced; the same from the table twice over."""
+    named = lambda s: ",".join(f"{plain.KINDS[k]}:{a}:{b}" for a, k, b in s)
+    spans = list(plain.all_spans([t for _, t, _ in given]))
+    want = [(i, named(s), plain.replaced(t, s) if s else None) for (i, t, _), s in zip(given, spans, strict=True)]
+    same(rows_of(privacy.sanitise(docs), "doc_id", "spans", "sanitised"), want)
+    same(rows_of(privacy.sanitise(docs.unionAll(docs)), "doc_id", "spans", "sanitised"), want * 2)
+
+
 def test_masked(spark):
     from pyspark.sql import functions as F
 

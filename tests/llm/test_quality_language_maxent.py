@@ -6,6 +6,7 @@ import numpy as np
 
 from loomsketch.llm import language, maxent, quality
 
+from . import brute
 from .conftest import lowered, rows_of, same, words
 
 
@@ -49,9 +50,17 @@ def test_posterior_follows_from_patterns_alone():
     assert table[0, 1, 2] > 0.85 and table[1, 1, 2] > 0.8 and abs(table[4, 1, 2] - 0.5) < 0.1
 
 
+def test_posterior_equals_brute_force(docs, given):
+    got = sorted(rows_of(quality.judge(docs), "doc_id", "n_words", "quality", "kept"), key=repr)
+    want = sorted([(i, len(words(t)), p, k) for (i, t, _), (p, k) in zip(given, brute.quality([t for _, t, _ in given]), strict=True)], key=repr)
+    for a, b in zip(sorted(got, key=lambda r: (repr(r[:2]), r[2])), sorted(want, key=lambda r: (repr(r[:2]), r[2])), strict=True):
+        assert a[:2] == b[:2] and math.isclose(a[2], b[2], abs_tol=1e-6) and a[3] == b[3]
+
+
 def test_keep_good_is_the_verdict(docs):
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns
+    assert not {tuple(r) for r in kept.collect()} - {tuple(r) for r in docs.collect()}
     same(rows_of(kept, "doc_id"), [r[:1] for r in rows_of(quality.judge(docs), "doc_id", "kept") if r[1]])
 
 
@@ -66,6 +75,16 @@ def test_held_out_accuracy(docs, given):
     assert {r["lang_pred"] for r in out if r["doc_id"] in (1_000_000, 1_000_001, 1_000_002)} == {"und"}
 
 
+def test_languages_equal_brute_force(docs, given, spark):
+    """Ties between n-grams and between languages, letters beyond Latin, one-letter texts."""
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 3 == 1
+    more = [(i, t, g) for i, (t, g) in enumerate([("ab ba", "x"), ("ab ba", "w"), ("日本語の文章です", "ja"), ("한국어 문장", "ko"), ("丠丁七 丠", "zh"), ("𝔘𝔫𝔦", "m"), ("a", None), ("İstanbul ıI", "tr"), ("ab", "x"), ("日", "ja"), ("中文", "zh")] * 3)]
+    for df, rows in ((docs, given), (spark.createDataFrame(more, "doc_id long, text string, lang string"), more)):
+        got = {(i, round(s, 9), g) for i, g, s in rows_of(language.identify(df), "doc_id", "lang_pred", "score")}
+        want = brute.language([(t, g) for i, t, g in rows if not held(i)], [t for _, t, _ in rows])
+        assert got == {(i, round(s, 9), g) for (i, _, _), (g, s) in zip(rows, want, strict=True)}
+
+
 def test_prediction_does_not_use_other_columns(docs):
     blind = docs.withColumn("source", docs["lang"])
     same(rows_of(language.identify(docs), "doc_id", "lang_pred", "score"), rows_of(language.identify(blind), "doc_id", "lang_pred", "score"))
@@ -88,6 +107,69 @@ def test_base_score_equals_brute_force(docs, given):
         assert tuple(a[:5]) == tuple(b[:5]) and math.isclose(a[5], b[5], rel_tol=1e-9)
 
 
+def toy_model():
+    """Counts of 500 words, some of them beyond the head, and a model with weights at random."""
+    rng = np.random.default_rng(1)
+    h, n = rng.integers(1, 2**63, 500).astype(np.uint64) * np.uint64(2), rng.zipf(1.3, 500).clip(1, 10_000)
+    size = np.floor(np.log2(n) * 8).astype(int)
+    bins = {int(b): (int((size == b).sum()), int(n[size == b].sum())) for b in np.unique(size)}
+    known = maxent.Counts(h[size >= 8], n[size >= 8], bins, 8, 50)
+    model = maxent.Model(known)
+    model.w[:] = rng.normal(0, 1, model.w.shape)
+    model.node[:] = rng.normal(0, 1, model.node.shape)
+    return known, model
+
+
+def test_probabilities_sum_to_one():
+    """Over all words that were seen, one that was not, and the end, after any context."""
+    known, model = toy_model()
+    heads = known.hash[:-1]
+    for k in range(5):
+        f = np.repeat(maxent.contexts(heads[k : k + 3], np.array([0, 3]))[:, -1:], len(heads) + 2, 1)
+        count, klass, code = known.look(np.concatenate([heads, [np.uint64(1), maxent._END]]))
+        p = np.exp(model.log_words(f, klass, code))
+        share = (np.append(known.count[:-1], [0, known.ends]) + maxent.SMOOTH) / known.leaf[klass, code]
+        share[-2] = 1  # the unknown word and all words beyond the head share a class
+        assert math.isclose((p * share).sum(), 1, rel_tol=1e-5), k
+
+
+def test_log_words_equal_plain_sums():
+    known, model = toy_model()
+    h = np.append(np.random.default_rng(2).choice(known.hash[:-1], 40), maxent._END)
+    f = maxent.contexts(h, np.array([0, len(h)]))
+    _, klass, code = known.look(h)
+    got = model.log_words(f, klass, code)
+    rows = model.class_rows(f)
+    for i in range(len(h)):
+        x = [float(known.share[c]) + sum(float(model.w[c, rows[j, i]]) for j in range(3)) for c in range(maxent.CLASSES)]
+        want = x[klass[i]] - math.log(sum(map(math.exp, x)))
+        for d in range(maxent.CODE):
+            node = int(klass[i]) << maxent.CODE | 1 << d | int(code[i]) >> maxent.CODE - d
+            mask = (1 << 64) - 1
+            place = [(((int(f[j, i]) ^ (node + 1) * 0x9E3779B97F4A7C15 & mask) * 0xD6E8FEB86659FD93 & mask) >> 64 - 14) for j in range(3)]
+            odds = float(known.odds[klass[i], node & (1 << maxent.CODE) - 1]) + sum(float(model.node[p]) for p in place)
+            right = int(code[i]) >> maxent.CODE - 1 - d & 1
+            want -= math.log1p(math.exp(-odds if right else odds))
+        assert math.isclose(got[i], want, rel_tol=1e-4, abs_tol=1e-4)
+
+
+def test_learning_lowers_the_loss():
+    """A word that follows another always: its probability there rises, and averaging two models that agree changes nothing."""
+    known, model = toy_model()
+    model.w[:], model.node[:] = 0, 0
+    h = np.tile(known.hash[[3, 7, 11, 5]], 500)
+    f, (_, klass, code) = maxent.contexts(h, np.array([0, len(h)])), known.look(h)
+    before = model.log_words(f, klass, code).mean()
+    for _ in range(20):
+        model.update(f, klass, code)
+    after = model.log_words(f, klass, code)
+    assert after.mean() > before + 1
+    parts = {i: (2 * np.frombuffer(x, np.float32).astype(float)).tobytes() for i, x in enumerate(model.parts())}
+    other = maxent.Model(known)
+    other.load(parts)
+    assert np.allclose(other.log_words(f, klass, code), after, atol=1e-3)
+
+
 def test_context_helps_on_held_out_documents(docs):
     rows = [r for r in maxent.score(docs).collect() if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 1_000_000]
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
