@@ -5,6 +5,7 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,9 @@ SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: Bytes of text that are taken at once, so that a worker's arrays stay small beside its heap.
 CHUNK = 1 << 18
 
-_tables: dict[str, list[str]] = {}
+#: Stored tables by application, each with the scope it was made in.
+_tables: dict[str, list[tuple[str, str]]] = {}
+_scopes: list[str] = [""]
 _local: dict[str, str] = {}
 
 
@@ -57,19 +60,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         fs.deleteOnExit(where)
     path = f"{top}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _tables[app].append(path)
+    _tables[app].append((path, _scopes[-1]))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: DataFrame) -> None:
-    """Removes every stored table but those that `keep` reads: what made it is not needed any more."""
+@contextmanager
+def scope(name: str):
+    """Tables stored inside belong to `name`, and `release` can remove them together."""
+    _scopes.append(name)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+
+
+def release(spark: SparkSession, name: str, keep: DataFrame) -> None:
+    """Removes the tables stored in a scope but those that `keep` reads: what made it is not needed any more."""
     app = spark.sparkContext.applicationId
-    used = [f.rsplit("/", 1)[0] for f in keep.inputFiles()]
-    for path in list(_tables.get(app, [])):
-        if not any(u.rstrip("/").endswith(path.rsplit("/", 1)[1]) for u in used):
+    mine = [path for path, owner in _tables.get(app, []) if owner == name]
+    used = {f.rsplit("/", 2)[-2] for f in keep.inputFiles()} if mine else set()
+    for path in mine:
+        if path.rsplit("/", 1)[1] not in used:
             fs, where = _files(spark, path)
             fs.delete(where, True)
-            _tables[app].remove(path)
+            _tables[app].remove((path, name))
 
 
 def forget(spark: SparkSession) -> None:

@@ -225,12 +225,12 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     kind, names = docs.schema["doc_id"].dataType, docs.columns
     text = F.col("text").cast("string")
-    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__th": F.xxhash64(text), "__text": text})
+    own = [n for n in names if n != "text"]
+    keyed = docs.select(*[F.col(f"`{n}`") for n in own], F.col("doc_id").cast("long").alias("__id"), F.xxhash64(text).alias("__th"), text.alias("__text"))
     found = Repeats(keyed, window, ("__id", "__th", "__text"), "left")
     changed = found.kept.select(*KEY, "kept", F.lit(False).alias("copy")).unionAll(found.copies().distinct().select(*KEY, F.lit(None).cast("array<long>").alias("kept"), F.lit(True).alias("copy")))
     changed = changed.select(F.col("doc_id").alias("__doc"), F.col("th").alias("__hash"), F.col("kept").alias("__kept"), F.col("copy").alias("__copy"))
     both = found.joined.join(changed, (F.col("__id") == F.col("__doc")) & (F.col("__th") == F.col("__hash")), "left")
-    own = [n for n in names if n != "text"]
     both = both.select(*[F.col(f"`{n}`") for n in own], "__text", "__alone", "__kept", "__copy")
     at = len(own)
 
