@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,6 +92,31 @@ def component(code: Column, components: int) -> tuple[Column, Column]:
     return F.pmod(code, F.lit(components)), F.floor(code / components).cast("long")
 
 
+def all_canonical(rows: DataFrame, seq: str, k: int) -> DataFrame:
+    """(kmer) every k-mer of the sequences once, the smaller of itself and its reverse complement as text. Other letters than
+    those of DNA stay as they are; null and shorter sequences have none."""
+    other = str.maketrans("ACGTacgt", "TGCAtgca")
+    step = 1 << 16
+
+    def run(batches):
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                for a in range(0, max(0, len(s or "") - k + 1), step):
+                    part = s[a : a + step + k - 1]
+                    back, n = part.translate(other)[::-1], len(part)
+                    yield pa.RecordBatch.from_arrays([pa.array(sorted({min(part[i : i + k], back[n - k - i : n - i]) for i in range(n - k + 1)}))], ["kmer"])
+
+    return rows.select(F.col(seq).cast("string")).mapInArrow(run, "kmer string").distinct()
+
+
+def by_read(decoded: DataFrame) -> DataFrame:
+    """(sketch_id, text) of decoded records: a header line `>read` and the record's name, then its k-mers, a line each, in the
+    order of their codes and as often as they stand in it."""
+    lines = F.array_sort(F.collect_list(F.struct("code", F.repeat(F.concat("kmer", F.lit("\n")), F.col("n").cast("int")).alias("l"))))
+    rows = decoded.groupBy("sketch_id").agg(lines.alias("l"))
+    return rows.select("sketch_id", F.concat(F.lit(">read "), F.col("sketch_id").cast("string"), F.lit("\n"), F.array_join(F.transform("l", lambda z: z["l"]), "")).alias("text"))
+
+
 def decode(sketch: DataFrame, params: SketchParams, dim: DataFrame) -> DataFrame:
     """sketch with the column `kmer`, the canonical k-mer behind each code."""
     if not params.reversible:

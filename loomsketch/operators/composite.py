@@ -50,10 +50,10 @@ def _meeting(queries: DataFrame, index: DataFrame) -> DataFrame:
     return x.join(y, "ref_id")
 
 
-def cosine(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """(qry, sample_id, measure) of vectors that share a dimension; norms are over all dimensions."""
+def cosine(queries: DataFrame, index: DataFrame, index_norms: DataFrame | None = None) -> DataFrame:
+    """(qry, sample_id, measure) of vectors that share a dimension; norms are over all dimensions. A stored index has its own."""
     dot = _meeting(queries, index).groupBy("qry", "sample_id").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    nx, ny = norms(queries).select(F.col("sample_id").alias("qry"), F.col("norm").alias("nx")), norms(index).select("sample_id", F.col("norm").alias("ny"))
+    nx, ny = norms(queries).select(F.col("sample_id").alias("qry"), F.col("norm").alias("nx")), (norms(index) if index_norms is None else index_norms).select("sample_id", F.col("norm").alias("ny"))
     both = dot.join(nx, "qry").join(ny, "sample_id")
     below = F.col("nx") * F.col("ny")
     return both.select("qry", "sample_id", F.when(below > 0, F.col("dot") / F.when(below > 0, below)).alias("measure"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kmer
 from ..params import ARRAY_S, SketchParams, kept_ranks, permutation
+from .order import cumulative
 
 #: Bases that are coded at once.
 CHUNK = 1 << 20
@@ -129,5 +130,5 @@ def total(sketch: DataFrame) -> DataFrame:
 
 
 def offsets(sizes: DataFrame) -> DataFrame:
-    """Cumulative end of each sketch in a concatenation of all of them by sketch_id."""
-    return sizes.withColumn("end_offset", F.sum("n_codes").over(Window.partitionBy(F.lit(0)).orderBy("sketch_id")))
+    """Cumulative end of each sketch in a concatenation of all of them by sketch_id, which is a number."""
+    return cumulative(sizes, "sketch_id", "n_codes", "end_offset")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANKS = ("superkingdom", "phylum", "class", "order", "family", "genus", "species")
-
+from ..held import held
+from .order import cumulative
 
 def lookup(rows: DataFrame, table: DataFrame, key: Column | str, table_key: str, value: str, default: str = "0") -> DataFrame:
     """rows with `value` looked up by key, or the default. Of several values for a key the greatest is taken."""
@@ -43,7 +43,7 @@ def subset(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def check_categories(mapping: DataFrame) -> DataFrame:
-    """Categories that are given different names, a missing name being one; a grouping with any is refused."""
+    """Categories that are given different names, a missing name being one; setops.group refuses a mapping with any."""
     return mapping.groupBy("category").agg(F.count_distinct(F.coalesce("category_name", F.lit(""))).alias("n_names")).filter("n_names > 1")
 
 
@@ -76,18 +76,13 @@ def krona(stats: DataFrame, lineages: DataFrame) -> DataFrame:
     return out.select("sample", "taxon", "percentage", "lineage").orderBy("sample", F.desc("percentage"), "taxon")
 
 
-def _held(df: DataFrame) -> DataFrame:
-    """df, computed once and cut off from its plan."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def ancestors(nodes: DataFrame, root: int = 1, most: int | None = None) -> DataFrame:
     """(node, ancestor, steps) of nodes (node, parent), themselves included and the root left out.
 
     Paths are doubled in every round until none grows, so that a tree of depth d takes log2(d) rounds. Parents that form a
     circle are refused, and so are paths that are longer than `most` by the round that reaches it.
     """
-    up = _held(nodes.filter(F.col("node") != root).select("node", "parent"))
+    up = held(nodes.filter(F.col("node") != root).select("node", "parent"))
     paths = up.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("steps"))
     jump, size = up.select(F.col("node").alias("at"), F.col("parent").alias("to")), 1
     most = up.count() if most is None else most
@@ -95,9 +90,9 @@ def ancestors(nodes: DataFrame, root: int = 1, most: int | None = None) -> DataF
         if size > most:
             raise ValueError(f"paths of more than {most} nodes: the tree is deeper, or parents form a circle")
         further = paths.join(jump, paths["ancestor"] == jump["at"]).filter(F.col("to") != root).select("node", F.col("to").alias("ancestor"), (F.col("steps") + size).alias("steps"))
-        paths = _held(paths.unionByName(further))
+        paths = held(paths.unionByName(further))
         nxt = jump.select(F.col("at").alias("to"), F.col("to").alias("to2"))
-        jump = _held(jump.join(nxt, "to").select("at", F.col("to2").alias("to")))
+        jump = held(jump.join(nxt, "to").select("at", F.col("to2").alias("to")))
         size *= 2
     return paths
 
@@ -131,4 +126,5 @@ def otu_table(profile: DataFrame, samples: list[str]) -> DataFrame:
 def otu_ids(profile: DataFrame) -> DataFrame:
     """(lineage, otu): taxa numbered from 0 in the order in which they are first seen. profile has a column `position`."""
     first = profile.groupBy("lineage").agg(F.min("position").alias("position"))
-    return first.select("lineage", (F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("position")) - 1).cast("long").alias("otu"))
+    places = cumulative(first.select("position").distinct().withColumn("one", F.lit(1).cast("long")), "position", "one", "rank")
+    return first.join(places, "position").select("lineage", (F.col("rank") - 1).alias("otu"))

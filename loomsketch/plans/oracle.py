@@ -54,6 +54,14 @@ _C = "CASE WHEN least(x_size, y_size) > 0 THEN CAST(xny AS DOUBLE) / least(x_siz
 _MASH = "CASE WHEN metric = 0 THEN 1.0 WHEN metric > 0 THEN least(ln(1 / (2 * metric) + 0.5) / 12, 1.0) END"
 _AAF = "CASE WHEN metric = 0 THEN 1.0 WHEN metric > 0 THEN least(ln(1 / metric) / 12, 1.0) END"
 
+_COEFFICIENTS = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+_ERFC = " + t * (".join(f"CAST({c} AS DOUBLE)" for c in _COEFFICIENTS) + ")" * (len(_COEFFICIENTS) - 1)
+
+
+def _six(value: str) -> str:
+    return f"coalesce(printf('%.6f', round({value}, 6)), '')"
+
+
 _BOUGHT = """
 bought AS (
   SELECT c_custkey, c_nationkey, c_mktsegment, l_partkey, CAST(l_quantity AS BIGINT) AS q
@@ -62,7 +70,7 @@ bought AS (
 customers AS (SELECT c_custkey AS sketch_id, l_partkey AS code, CAST(least(sum(q), 65535) AS INTEGER) AS abundance FROM bought GROUP BY 1, 2),
 nations AS (SELECT CAST(c_nationkey AS BIGINT) AS sketch_id, l_partkey AS code, CAST(least(sum(q), 65535) AS INTEGER) AS abundance FROM bought GROUP BY 1, 2),
 suppliers AS (SELECT DISTINCT l_suppkey AS sketch_id, l_partkey AS code FROM lineitem),
-pan AS (SELECT DISTINCT code FROM suppliers JOIN supplier ON s_suppkey = sketch_id WHERE s_nationkey < 10)"""
+pan AS (SELECT p_partkey AS code FROM part WHERE p_size > 25)"""
 _STATS = f"""WITH {_BOUGHT},
 both_ AS (SELECT n.sketch_id AS qry, s.sketch_id AS ref, abundance FROM nations n JOIN suppliers s USING (code)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY qry, ref ORDER BY abundance) AS i, count(*) OVER (PARTITION BY qry, ref) AS n FROM both_),
@@ -76,7 +84,7 @@ stats AS (
 passing AS (SELECT qry AS sample_id, ref AS ref_id, trimmed_mean AS t FROM stats WHERE median > 1 AND n_shared > 7),
 abv AS (SELECT sample_id, ref_id, (t - 1) * 100 / nullif(sum(t) OVER w - count(*) OVER w, 0) AS pct FROM passing WINDOW w AS (PARTITION BY sample_id)),
 norms AS (SELECT sample_id, sqrt(sum(pct * pct)) AS norm FROM abv GROUP BY 1),
-met AS (SELECT x.sample_id AS qry, y.sample_id, x.pct AS x, y.pct AS y FROM abv x JOIN abv y USING (ref_id) WHERE x.sample_id < 8),
+met AS (SELECT x.sample_id AS qry, y.sample_id, x.pct AS x, y.pct AS y FROM abv x JOIN abv y USING (ref_id)),
 cosine AS (
   SELECT qry, m.sample_id, sum(x * y) / nullif(max(a.norm) * max(b.norm), 0) AS measure
   FROM met m JOIN norms a ON a.sample_id = qry JOIN norms b ON b.sample_id = m.sample_id GROUP BY 1, 2
@@ -116,6 +124,21 @@ b AS (SELECT *, metric - 1.96 * sd AS lo, metric + 1.96 * sd AS hi FROM s)
 SELECT qry, ref, metric, round(sd, 6) AS sd, round(lo, 6) AS metric_low, round(hi, 6) AS metric_high,
   round(CASE WHEN hi > 0 THEN ln(1 / (2 * hi) + 0.5) / 12 END, 6) AS distance_low,
   round(CASE WHEN lo > 0 THEN ln(1 / (2 * lo) + 0.5) / 12 END, 6) AS distance_high FROM b""",
+    "pvalue": f"""{_PAIRS}, m AS (SELECT *, {_J} AS metric FROM pairs),
+s AS (SELECT *, sqrt(metric * (1 - metric) / (x_size + y_size - xny)) AS sd FROM m),
+z AS (SELECT *, CASE WHEN sd > 0 THEN metric / sd * sqrt(CAST(0.5 AS DOUBLE)) END AS x FROM s),
+t AS (SELECT *, 1 / (1 + x / 2) AS t FROM z),
+p AS (SELECT qry, ref, metric, CASE WHEN sd > 0 THEN t * exp({_ERFC} - x * x) / 2 WHEN metric = 1 THEN 0 END AS p FROM t)
+SELECT qry, ref, metric, round(p, 12) AS p_value, round(p * ((SELECT count(*) FROM documents) * (SELECT count(*) FROM benchmark)), 8) AS q_value FROM p""",
+    "report_lines": f"""{_PAIRS}, m AS (SELECT *, {_J} AS metric FROM pairs),
+s AS (SELECT *, sqrt(metric * (1 - metric) / (x_size + y_size - xny)) AS sd FROM m),
+b AS (SELECT *, metric - 1.96 * sd AS lo, metric + 1.96 * sd AS hi, {_MASH} AS distance FROM s)
+SELECT qry AS "Qry", ref AS "Ref", printf('%d-0|%d|%d', xny, x_size, y_size) AS counts, {_six("metric")} AS "Jaccard", {_six("distance")} AS "MashD",
+  '[' || {_six("lo")} || ',' || {_six("hi")} || ']' AS "Jaccard_CI",
+  '[' || {_six("CASE WHEN hi > 0 THEN ln(1 / (2 * hi) + 0.5) / 12 END")} || ',' || {_six("CASE WHEN lo > 0 THEN ln(1 / (2 * lo) + 0.5) / 12 END")} || ']' AS "MashD_CI" FROM b""",
+    "by_read_kmers": f"WITH {_KEPT}, {_codes('records', 'conversations', "conv_id || ':' || turn")} SELECT sketch_id, '>read ' || sketch_id || chr(10) || string_agg(repeat(kmer || chr(10), n), '' ORDER BY code) AS text FROM records GROUP BY 1",
+    "canonical_kmers": f"""SELECT DISTINCT least(f, reverse(translate(f, 'ACGT', 'TGCA'))) AS kmer FROM (
+  SELECT substr(s, CAST(p AS INTEGER), 11) AS f FROM (SELECT {_fold("text")} AS s FROM benchmark) d, LATERAL (SELECT unnest(range(1, greatest(length(s) - 9, 1))) AS p) x)""",
     "dense_pairs": f"""{_PAIRS},
 every AS (SELECT y.sketch_id AS qry, x.sketch_id AS ref, x.n_codes AS x_size, y.n_codes AS y_size FROM item_sizes y CROSS JOIN doc_sizes x),
 filled AS (SELECT e.qry, e.ref, coalesce(s.xny, 0) AS xny, e.x_size, e.y_size FROM every e LEFT JOIN shared s ON s.qry = e.qry AND s.ref = e.ref),
@@ -134,8 +157,8 @@ SELECT qry, ref, xny, round(distance, 6) AS distance FROM e WHERE distance <= 0.
 SELECT CAST(0 AS BIGINT) AS sketch_id, 'bought' AS name, code FROM (SELECT DISTINCT code FROM customers)
 UNION ALL SELECT 1, 'supplied', code FROM pan
 UNION ALL SELECT 2, 'single', code FROM (SELECT code FROM suppliers GROUP BY 1 HAVING count(*) = 1)""",
-    "combine_batches": f"""WITH {_BOUGHT} SELECT sketch_id, code FROM nations
-UNION ALL SELECT sketch_id + (SELECT max(sketch_id) + 1 FROM nations), code FROM suppliers""",
+    "combine_batches": f"""WITH {_BOUGHT} SELECT sketch_id, code FROM customers
+UNION ALL SELECT sketch_id + (SELECT count(*) FROM customer), code FROM suppliers""",
     "set_group": f"""WITH {_BOUGHT} SELECT DISTINCT CAST(s_nationkey AS BIGINT) AS category,
   CASE WHEN s_nationkey % 2 = 0 THEN s_nationkey || '_n' || s_nationkey ELSE CAST(s_nationkey AS VARCHAR) END AS name, code
 FROM suppliers JOIN supplier ON s_suppkey = sketch_id WHERE s_nationkey <> 0""",
@@ -158,7 +181,7 @@ LEFT JOIN region ON r_regionkey = try_cast(regexp_extract(o_orderpriority, '^([0
     "metadata_join": f"""{_STATS} SELECT CAST(c.sample_id AS VARCHAR) AS run, round(measure, 6) AS measure,
   CASE WHEN n_nationkey % 3 > 0 THEN CAST(n_regionkey AS VARCHAR) ELSE 'NA' END AS project,
   CASE WHEN n_nationkey % 3 > 0 THEN n_name ELSE 'NA' END AS sample, CASE WHEN n_nationkey % 3 > 0 THEN n_name ELSE 'NA' END AS organism
-FROM cosine c JOIN nation ON n_nationkey = c.sample_id WHERE qry = 0""",
+FROM cosine c JOIN nation ON n_nationkey = c.sample_id""",
     "semi_subset": "SELECT doc_id, lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "best_support": """SELECT c_nationkey, c_mktsegment, support FROM (
   SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY support DESC, c_mktsegment) AS r
@@ -174,7 +197,7 @@ UNION ALL SELECT sample, CAST(n_regionkey + 100 AS BIGINT), 'genus', round(sum(p
 FROM nation JOIN region ON r_regionkey = n_regionkey
 UNION ALL SELECT CAST(r_regionkey + 100 AS BIGINT), CAST(r_regionkey + 100 AS VARCHAR), r_name FROM region""",
     "krona_profile": f"""{_STATS},
-one AS (SELECT sample, taxon, max(n_shared) AS n_shared, max(trimmed_mean) AS trimmed_mean, max(median) AS median FROM taxa WHERE sample = 0 GROUP BY 1, 2),
+one AS (SELECT sample, taxon, max(n_shared) AS n_shared, max(trimmed_mean) AS trimmed_mean, max(median) AS median FROM taxa GROUP BY 1, 2),
 dep AS (SELECT sample, taxon, {_depth(8, "0.1")} AS depth FROM one)
 SELECT sample, taxon, round(depth * 100 / sum(depth) OVER (PARTITION BY sample), 6) AS percentage, r_name || ';' || n_name AS lineage
 FROM dep JOIN nation ON n_nationkey + 1000 = taxon JOIN region ON r_regionkey = n_regionkey WHERE depth IS NOT NULL""",

@@ -43,7 +43,7 @@ def sizes(spark, d, name: str, key: str, found: DataFrame) -> DataFrame:
 def searched(spark, d, dense: bool = False) -> DataFrame:
     """Benchmark items as queries against documents."""
     q, r = sketch.distinct(item_counts(spark, d)), sketch.distinct(doc_counts(spark, d))
-    return search.pairs(search.shared_counts(q, r), sizes(spark, d, "benchmark", "item_id", q), sizes(spark, d, "documents", "doc_id", r), dense)
+    return search.pairs(search.shared_counts(q, r, (PARAMS, PARAMS)), sizes(spark, d, "benchmark", "item_id", q), sizes(spark, d, "documents", "doc_id", r), dense)
 
 
 def bought(spark, d) -> DataFrame:
@@ -70,9 +70,8 @@ def suppliers(spark, d) -> DataFrame:
 
 
 def pan_parts(spark, d) -> DataFrame:
-    """The parts of the suppliers of the first ten nations, as a pan sketch."""
-    some = table(spark, d, "supplier").filter("s_nationkey < 10").select(F.col("s_suppkey").alias("sketch_id"))
-    return setops.union(suppliers(spark, d).join(some, "sketch_id", "left_semi"))
+    """The parts of more than medium size, as a pan sketch."""
+    return table(spark, d, "part").filter("p_size > 25").select(F.col("p_partkey").alias("code"))
 
 
 def stats(spark, d) -> DataFrame:
@@ -120,7 +119,7 @@ def sketch_abundance(spark, d):
 
 @query
 def sketch_low_quality(spark, d):
-    """Digits and signs as base qualities: a letter whose upper-case form is below G breaks the run."""
+    """Digits and signs as base qualities: a letter whose upper-case form is below B breaks the run."""
     rows = table(spark, d, "benchmark").select("item_id", kmer.fold(F.col("text")).alias("seq"), F.upper(F.regexp_replace("text", "[^A-Za-z]+", "")).alias("q"))
     return sketch.distinct(sketch.counts(rows, "item_id", "seq", PARAMS, quality="q", min_quality=ord("B")))
 
@@ -151,7 +150,7 @@ def postings(spark, d):
 @query
 def shared_counts(spark, d):
     s = sketch.distinct(doc_counts(spark, d))
-    return search.shared_counts(s, s)
+    return search.with_itself(search.self_counts(s), sketch.meta(s))
 
 
 @query
@@ -179,7 +178,16 @@ def jaccard_ci(spark, d):
 @query
 def pvalue(spark, d):
     n = table(spark, d, "documents").count() * table(spark, d, "benchmark").count()
-    return search.significance(search.confidence(search.measure(searched(spark, d), PARAMS), PARAMS), n).select("qry", "ref", "metric", "p_value", "q_value")
+    out = search.significance(search.confidence(search.measure(searched(spark, d), PARAMS), PARAMS), n)
+    return out.select("qry", "ref", "metric", F.round("p_value", 12).alias("p_value"), F.round("q_value", 8).alias("q_value"))
+
+
+@query
+def report_lines(spark, d):
+    """A report's text with intervals, its names made plain."""
+    measured = search.confidence(search.measure(searched(spark, d), PARAMS), PARAMS).withColumns({"p_value": F.lit(None).cast("double"), "q_value": F.lit(None).cast("double")})
+    out = search.formatted(measured, fields=2)
+    return out.select("Qry", "Ref", F.col("`Shared_k|Ref_s|Qry_s`").alias("counts"), "Jaccard", "MashD", "Jaccard_CI", "MashD_CI")
 
 
 @query
@@ -191,7 +199,7 @@ def dense_pairs(spark, d):
 def top_n_neighbors(spark, d):
     s = sketch.distinct(doc_counts(spark, d))
     z = sizes(spark, d, "documents", "doc_id", s)
-    best = search.top_n(search.pairs(search.shared_counts(s, s), z, z), 3, exclude_self=True)
+    best = search.top_n(search.pairs(search.self_counts(s), z, z), 3)
     return search.measure(best, PARAMS).select("qry", "rank", "ref", "xny", "metric", F.round("distance", 6).alias("distance"))
 
 
@@ -199,7 +207,7 @@ def top_n_neighbors(spark, d):
 def distance_threshold(spark, d):
     s = sketch.distinct(doc_counts(spark, d))
     z = sizes(spark, d, "documents", "doc_id", s)
-    near = search.within(search.measure(search.pairs(search.shared_counts(s, s), z, z), PARAMS), 0.05)
+    near = search.within(search.measure(search.pairs(search.with_itself(search.self_counts(s), z), z, z), PARAMS), 0.05)
     return near.select("qry", "ref", "xny", F.round("distance", 6).alias("distance"))
 
 
@@ -230,7 +238,9 @@ def set_combine(spark, d):
 
 @query
 def combine_batches(spark, d):
-    return setops.combine_batches([nations(spark, d).select("sketch_id", "code"), suppliers(spark, d)])
+    """Customers' sketches, many of them empty, then suppliers'; ids follow the catalogs."""
+    catalogs = [table(spark, d, "customer"), table(spark, d, "supplier")]
+    return setops.combine_batches([customers(spark, d).select("sketch_id", "code"), suppliers(spark, d)], catalogs)
 
 
 @query
@@ -255,6 +265,19 @@ def decode_kmers(spark, d):
     return kmer.decode(sketch.distinct(doc_counts(spark, d)), PARAMS, permutation(spark, PARAMS)).select("sketch_id", "code", "kmer")
 
 
+@query
+def by_read_kmers(spark, d):
+    rows = table(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("record"), "text")
+    found = sketch.by_record(rows, "record", "text", PARAMS, folded=True)
+    return kmer.by_read(kmer.decode(found, PARAMS, permutation(spark, PARAMS)))
+
+
+@query
+def canonical_kmers(spark, d):
+    """All k-mers of 11 bases of the benchmark's items."""
+    return kmer.all_canonical(table(spark, d, "benchmark").select(kmer.fold(F.col("text")).alias("seq")), "seq", 11)
+
+
 @query
 def composite_stats(spark, d):
     return stats(spark, d)
@@ -278,7 +301,7 @@ def vector_norms(spark, d):
 
 def _search(spark, d, how: str) -> DataFrame:
     vectors = abv(spark, d)
-    found = composite.search(vectors.filter("sample_id < 8"), vectors, how)
+    found = composite.search(vectors, vectors, how)
     return found.select("qry", "sample_id", (F.round("measure", 6) + F.lit(0.0)).alias("measure"))  # no negative zero
 
 
@@ -316,7 +339,7 @@ def lookup_regex(spark, d):
 
 @query
 def metadata_join(spark, d):
-    hits = _search(spark, d, "cosine").filter("qry = 0").select(F.concat(F.col("sample_id").cast("string"), F.lit(".abv")).alias("name"), "measure")
+    hits = _search(spark, d, "cosine").select(F.concat(F.col("sample_id").cast("string"), F.lit(".abv")).alias("name"), "measure")
     n = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("run"), F.col("n_regionkey").cast("string").alias("project"), F.when(F.col("n_nationkey") % 3 > 0, F.col("n_name")).alias("sample"), F.col("n_name").alias("organism"))
     return taxonomy.with_metadata(hits, n)
 
@@ -360,7 +383,7 @@ def lineage_paths(spark, d):
 
 @query
 def krona_profile(spark, d):
-    one = _taxa(spark, d).filter("sample = 0").groupBy("sample", "taxon").agg(F.max("n_shared").alias("n_shared"), F.max("trimmed_mean").alias("trimmed_mean"), F.max("median").alias("median"))
+    one = _taxa(spark, d).groupBy("sample", "taxon").agg(F.max("n_shared").alias("n_shared"), F.max("trimmed_mean").alias("trimmed_mean"), F.max("median").alias("median"))
     lines = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select((F.col("n_nationkey") + 1000).cast("long").alias("taxon"), F.concat_ws(";", "r_name", "n_name").alias("lineage"))
     return taxonomy.krona(one, lines).select("sample", "taxon", F.round("percentage", 6).alias("percentage"), "lineage")
 

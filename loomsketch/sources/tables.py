@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import base_name
+from ..operators.composite import norms
 from ..params import SketchParams, load_params, save_params
 
 
@@ -55,9 +57,25 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
-def write_kmers(decoded: DataFrame, path: str) -> None:
-    """A folder of k-mers, one a line, for each sketch."""
-    decoded.select("sketch_id", "kmer").write.mode("overwrite").partitionBy("sketch_id").text(path)
+def write_kmers(decoded: DataFrame, path: str, catalog: DataFrame | None = None) -> None:
+    """A folder of k-mers, one a line, for each sketch; with a catalog (sketch_id, name) under the last part of its name."""
+    key = "sketch_id"
+    if catalog is not None:
+        decoded, key = decoded.join(catalog.select("sketch_id", base_name(F.col("name")).alias("name")), "sketch_id"), "name"
+    decoded.select(key, "kmer").write.mode("overwrite").partitionBy(key).text(path)
+
+
+def write_abundance_index(vectors: DataFrame, names: DataFrame, path: str) -> None:
+    """An index of abundance vectors (sample_id, ref_id, pct): the vectors sorted by reference, which a search joins on, their
+    norms, and the samples' names (sample_id, name)."""
+    vectors.repartition("ref_id").sortWithinPartitions("ref_id", "sample_id").write.mode("overwrite").parquet(f"{path}/vectors")
+    norms(vectors).write.mode("overwrite").parquet(f"{path}/norms")
+    names.select("sample_id", "name").write.mode("overwrite").parquet(f"{path}/names")
+
+
+def read_abundance_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The vectors, their norms and the names of an index."""
+    return tuple(spark.read.parquet(f"{path}/{part}") for part in ("vectors", "norms", "names"))
 
 
 def category_table(spark: SparkSession, path: str) -> DataFrame:

@@ -116,7 +116,8 @@ def test_set_operations(spark):
     assert rows(inside.unionByName(outside), *s.columns) == rows(s, *s.columns)
     mapping = spark.createDataFrame([(0, 7, "x"), (1, 7, "x"), (2, 0, None)], "sketch_id long, category long, category_name string")
     assert rows(setops.group(s, mapping), "category", "name", "code") == [(7, "7_x", 1), (7, "7_x", 2), (7, "7_x", 3)]
-    assert rows(setops.combine_batches([s, s]), "sketch_id", "code")[-1] == (5, 4)
+    catalog = spark.createDataFrame([(i, str(i)) for i in range(4)], "sketch_id long, name string")
+    assert rows(setops.combine_batches([s, s], [catalog, catalog]), "sketch_id", "code")[-1][1] == 4
     assert not setops.check_compatible(P, SketchParams(6, 4, 1, 43), "skip")
     with pytest.raises(ValueError):
         setops.check_compatible(P, SketchParams(6, 4, 1, 43))

@@ -35,4 +35,4 @@ def test_entry(spark):
 
 def test_every_query_without_sql_is_known():
     without = set(entry.queries()) - set(entry.oracle_sql())
-    assert all(k == "pvalue" or k == "pipeline" or k.startswith("op") for k in without)
+    assert all(k == "pipeline" or k.startswith("op") for k in without)
