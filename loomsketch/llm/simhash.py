@@ -214,7 +214,8 @@ def similar(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     rows = keys.select("th", F.explode("keys").alias("k"))
     shared = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("th").alias("a"), F.max("th").alias("b"), F.bit_xor(F.xxhash64("th")).alias("x")).filter("n > 1")
     members = stored(rows.join(shared.select("k", F.xxhash64("n", "a", "b", "x").alias("bucket")), "k").select("bucket", "th").distinct(), "buckets")
-    needed = all_texts.join(members.select("th").distinct(), "th", "left_semi").dropDuplicates(["th"])
+    # copies go before the shuffle, so that a text which a third of all rows have makes no hot key
+    needed = all_texts.dropDuplicates(["th"]).join(members.select("th").distinct(), "th", "left_semi")
     grouped = members.join(needed, "th").select("bucket", "th", "text").repartition("bucket").sortWithinPartitions("bucket", "th")
 
     def compared(batches):
