@@ -10,7 +10,9 @@ if and only if some word is at most 1 bit from both, so each offers itself to th
 a word are linked to the smallest there. No list of pairs is made: a word has at most 65 neighbours.
 
 keep_first also takes a Jaccard similarity of word shingles. At 0.8 about 10 of 64 bits differ, and covering those would take
-thousands of tables, so candidates come from bands of min-hashes there. Each bucket's texts are compared exactly.
+thousands of tables, so candidates come from bands of min-hashes there. Each bucket's texts are compared exactly. A bucket of
+more than GROUP texts is split: its parts are linked on their own, each together with the same few pivots of the bucket, and
+then blocks of texts that are in different components still are compared with each other. No task holds a whole bucket.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ RADIUS, SHINGLE, SEED = 2, 3, 42
 BLOCK = 1 << 14
 #: Bands of min-hashes, and min-hashes of a band: of pairs of similarity 0.8, about 3 in a million share no band.
 BANDS, BAND = 32, 5
+#: Texts of a bucket that one task compares, and pivots that the parts of a larger bucket have in common.
+GROUP, PIVOTS = 2000, 16
 _FACTORS = np.random.default_rng(20250118).integers(1, 1 << 63, (BANDS, BAND), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -155,8 +159,9 @@ def band_keys(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return keys
 
 
-def linked(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links that join all sets of at least that Jaccard similarity, directly or through others.
+def linked(sets: list[np.ndarray], similarity: float, labels: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that join all sets of at least that Jaccard similarity, directly or through others. Sets of equal labels, where
+    there are any, are joined already.
 
     Each set in turn is compared with later ones. Left out are those in its component already, those too long or short, and
     those that the triangle inequality of the Jaccard distance tells apart by an earlier set; no pair that counts is lost.
@@ -165,7 +170,7 @@ def linked(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     size = np.array([len(s) for s in sets])
     begin = np.append(0, np.cumsum(size))
     values, place = np.unique(np.concatenate(sets), return_inverse=True)
-    label, far, out = np.arange(n), [], []
+    label, far, out = np.arange(n) if labels is None else np.unique(np.array(labels), return_inverse=True)[1], [], []
     for p in range(n - 1):
         c = label != label[p]
         if not c.any():
@@ -193,11 +198,82 @@ def linked(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     return out
 
 
-def similar(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def compared(grouped: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(u, v): links within each group of (g, th, label, text), a group by one task; rows of equal labels are linked already."""
+
+    def run(batches):
+        group, names, sets, labels, edges = None, [], [], [], []
+        for batch in batches:
+            groups, ths, marks = (batch.column(i).to_pylist() for i in range(3))
+            buf, off = buffers(batch.column(3))
+            for a, b in chunks(off):
+                h, begin = shingles(buf, off[a : b + 1], shingle)
+                for i in range(a, b):
+                    if groups[i] != group:
+                        if names:
+                            edges += [(names[x], names[y]) for x, y in linked(sets, similarity, labels)]
+                        group, names, sets, labels = groups[i], [], [], []
+                    names.append(ths[i])
+                    labels.append(marks[i])
+                    sets.append(np.unique(h[begin[i - a] : begin[i - a + 1]]))
+            yield sent(edges)
+            edges = []
+        if names:
+            yield sent([(names[x], names[y]) for x, y in linked(sets, similarity, labels)])
+
+    def sent(edges):
+        u, v = [max(e) for e in edges], [min(e) for e in edges]
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    rows = grouped.select("g", "th", "label", "text").repartition("g").sortWithinPartitions("g", "th")
+    return rows.mapInArrow(run, "u long, v long").distinct()
+
+
+def _spread(n: Column, group: int) -> Column:
+    """How many parts of about `group` rows n rows make."""
+    return F.ceil(n / group).cast("long")
+
+
+def _each_of(n: Column) -> Column:
+    """A row for each number below n."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+
+
+def parts(members: DataFrame, group: int = GROUP) -> DataFrame:
+    """(g, th): the buckets (bucket, n, th) in parts of some `group` texts; those of one bucket share its pivots."""
+    count = _spread(F.col("n"), group)
+    own = members.select("bucket", F.pmod(F.xxhash64("th", F.lit(1)), count).alias("part"), "th")
+    pivots = members.filter(F.col("n") > group).groupBy("bucket", "n", F.pmod(F.xxhash64("th", F.lit(2)), F.lit(PIVOTS))).agg(F.min("th").alias("th"))
+    shared = pivots.select("bucket", _each_of(count).alias("part"), "th")
+    return own.unionAll(shared).select(F.xxhash64("bucket", "part").alias("g"), "th").distinct()
+
+
+def blocks(labelled: DataFrame, group: int = GROUP) -> DataFrame:
+    """(g, th, label): of split buckets (bucket, th, label), the pairs of blocks that hold texts of different labels.
+
+    A label of more than `group` texts makes a unit of its own, cut into blocks; the others of a bucket make one together, in
+    which a label stays in one block. Units are paired, and of those pairs the blocks, but never a large label with itself.
+    """
+    sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    large = F.col("n") > group
+    unit = F.when(large, F.struct(F.lit(True).alias("large"), F.col("label").alias("label"))).otherwise(F.struct(F.lit(False).alias("large"), F.lit(0).cast("long").alias("label")))
+    sizes = stored(sizes.withColumn("unit", unit), "sizes")
+    units = sizes.groupBy("bucket", "unit").agg(_spread(F.sum("n"), group).alias("k"))
+    a, b = (units.select("bucket", F.col("unit").alias(f"unit_{x}"), F.col("k").alias(f"k_{x}")) for x in "ab")
+    pairs = a.join(b, "bucket").filter((F.col("unit_a") < F.col("unit_b")) | ((F.col("unit_a") == F.col("unit_b")) & ~F.col("unit_a.large")))
+    pairs = pairs.withColumn("i_a", _each_of(F.col("k_a"))).withColumn("i_b", _each_of(F.col("k_b"))).filter((F.col("unit_a") < F.col("unit_b")) | (F.col("i_a") <= F.col("i_b")))
+    sides = F.array_distinct(F.array(*[F.struct(F.col(f"unit_{x}").alias("unit"), F.col(f"i_{x}").alias("i")) for x in "ab"]))
+    wanted = pairs.select("bucket", F.xxhash64("bucket", "unit_a", "i_a", "unit_b", "i_b").alias("g"), F.inline(sides))
+    rows = labelled.join(sizes.select("bucket", "label", "unit"), ["bucket", "label"]).join(units, ["bucket", "unit"])
+    rows = rows.withColumn("i", F.pmod(F.when(F.col("unit.large"), F.xxhash64("th", F.lit(3))).otherwise(F.xxhash64("label", F.lit(3))), F.col("k")))
+    return rows.join(wanted, ["bucket", "unit", "i"]).select("g", "th", "label").distinct()
+
+
+def similar(docs: DataFrame, shingle: int, similarity: float, group: int = GROUP) -> DataFrame:
     """doc_id, th and root of every row; rows of one root are linked by sets of shingles of at least that similarity.
 
-    A text is taken once however often it occurs. Buckets with the same texts in several bands are compared once; the sets
-    of a bucket's different texts are held by one task.
+    A text is taken once however often it occurs. Buckets with the same texts in several bands are compared once; a task
+    holds the sets of some `group` of a bucket's different texts, or of two blocks of that size.
     """
     text = F.col("text").cast("string")
     all_texts = docs.select(F.xxhash64(text).alias("th"), text.alias("text"))
@@ -213,35 +289,21 @@ def similar(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     keys = stored(all_texts.mapInArrow(keyed, "th long, keys array<long>").dropDuplicates(["th"]), "bands")
     rows = keys.select("th", F.explode("keys").alias("k"))
     shared = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("th").alias("a"), F.max("th").alias("b"), F.bit_xor(F.xxhash64("th")).alias("x")).filter("n > 1")
-    members = stored(rows.join(shared.select("k", F.xxhash64("n", "a", "b", "x").alias("bucket")), "k").select("bucket", "th").distinct(), "buckets")
+    members = stored(rows.join(shared.select("k", "n", F.xxhash64("n", "a", "b", "x").alias("bucket")), "k").select("bucket", "n", "th").distinct(), "buckets")
     # copies go before the shuffle, so that a text which a third of all rows have makes no hot key
-    needed = all_texts.dropDuplicates(["th"]).join(members.select("th").distinct(), "th", "left_semi")
-    grouped = members.join(needed, "th").select("bucket", "th", "text").repartition("bucket").sortWithinPartitions("bucket", "th")
-
-    def compared(batches):
-        bucket, names, sets, edges = None, [], [], []
-        for batch in batches:
-            buckets, ths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            buf, off = buffers(batch.column(2))
-            for a, b in chunks(off):
-                h, begin = shingles(buf, off[a : b + 1], shingle)
-                for i in range(a, b):
-                    if buckets[i] != bucket:
-                        if names:
-                            edges += [(names[x], names[y]) for x, y in linked(sets, similarity)]
-                        bucket, names, sets = buckets[i], [], []
-                    names.append(ths[i])
-                    sets.append(np.unique(h[begin[i - a] : begin[i - a + 1]]))
-            yield sent(edges)
-            edges = []
-        if names:
-            yield sent([(names[x], names[y]) for x, y in linked(sets, similarity)])
-
-    def sent(edges):
-        u, v = [max(e) for e in edges], [min(e) for e in edges]
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-    roots = stored(components(grouped.mapInArrow(compared, "u long, v long").distinct()), "roots")
+    once = all_texts.dropDuplicates(["th"])
+    with_text = lambda rows: rows.join(once.join(rows.select("th").distinct(), "th", "left_semi"), "th")
+    most = members.agg(F.max("n")).first()[0] or 0
+    first = members.select(F.col("bucket").alias("g"), "th") if most <= group else stored(parts(members, group), "parts")
+    edges = compared(with_text(first.withColumn("label", F.col("th"))), shingle, similarity)
+    if most > group:
+        edges = stored(edges, "links")
+        roots = stored(components(edges), "roots")
+        labelled = members.filter(F.col("n") > group).join(roots.withColumnRenamed("node", "th"), "th", "left").select("bucket", "th", F.coalesce("root", "th").alias("label"))
+        open_still = labelled.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("bucket")
+        across = stored(blocks(stored(labelled.join(open_still, "bucket", "left_semi"), "labelled"), group), "blocks")
+        edges = edges.unionAll(compared(with_text(across), shingle, similarity))
+    roots = stored(components(edges), "roots")
     names = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"))
     return names.join(roots.withColumnRenamed("node", "th"), "th", "left").select("doc_id", "th", F.coalesce("root", "th").alias("root"))
 

@@ -189,6 +189,45 @@ def test_links_lose_no_pair():
     assert simhash.linked([s[0], s[0]], 0.8) == [(0, 1)]
 
 
+def test_links_across_labels():
+    """Sets of one label are joined already; a link to another label is made once."""
+    import numpy as np
+
+    s = [np.arange(a, a + 100, dtype=np.uint64) for a in (0, 1, 2, 500)]
+    assert simhash.linked(s, 0.8, [7, 7, 7, 7]) == []
+    assert sorted(map(sorted, simhash.linked(s, 0.8, [7, 7, -1, 9]))) in ([[0, 2]], [[1, 2]])
+
+
+@pytest.mark.parametrize("group", [2, 7, 50, 2000])
+def test_split_buckets_lose_no_link(spark, group):
+    """One family of which most share buckets, in many components, and large ones among them; parts and blocks of a few texts."""
+    import random
+
+    from . import brute
+
+    rng, texts = random.Random(11), []
+    base = [f"w{i}" for i in range(120)]
+    for g in range(12):
+        own = list(base)
+        for at in rng.sample(range(120), 3 + g // 3):
+            own[at] = f"group{g}x{at}"
+        for k in range(60 if g < 2 else rng.choice([1, 2, 6])):
+            copy = list(own)
+            for at in rng.sample(range(120), k % 3):
+                copy[at] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    texts += [texts[0]] * 5 + ["", "one", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    found = {r["doc_id"]: r["root"] for r in simhash.similar(df, 5, 0.8, group).collect()}
+    a, b = defaultdict(set), defaultdict(set)
+    for i, n in enumerate(brute.similar_groups(texts)):
+        a[n].add(i)
+        b[found[i]].add(i)
+    null = lambda groups: sorted(sorted(g) for g in groups.values() if not g & {len(texts) - 1, len(texts) - 3})
+    assert len(null(a)) > 3
+    assert null(a) == null(b)
+
+
 def test_similarity_of_odd_rows(docs, given, empty, all_null):
     kept = rows_of(simhash.keep_first(docs, shingle=5, similarity=0.8), "doc_id", "text")
     assert len({five_words(t) for _, t in kept}) == len(kept)
