@@ -20,7 +20,7 @@ from .tokens import default_path, encoded
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces of one length that are ranked together in one window, on average.
-GROUP = 50_000
+GROUP = 1000
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -80,12 +80,15 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 
 def place(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """parts (a stored table with `length`) and, for each row, its sequence_id and offset."""
-    histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
+    counts = parts.groupBy("length").agg(F.count("*").alias("n"))
+    histogram = {r["length"]: r["n"] for r in counts.collect()}  # at most `capacity` rows
     runs = sorted(plan(histogram, capacity))
-    groups = max(1, -(-sum(histogram.values()) // GROUP))
+    # a common length is ranked in many groups, a rare one in one
+    groups = counts.select("length", F.ceil(F.col("n") / GROUP).alias("__k"))
     names = parts.columns
     # the place of a row in its file tells equal rows apart and stays the same when a task runs again
-    rows = parts.select(*names, F.col("_metadata.file_name").alias("__f"), F.col("_metadata.row_index").alias("__i")).withColumn("__g", F.pmod(F.xxhash64("__f", "__i"), F.lit(groups)).cast("int"))
+    rows = parts.select(*names, F.col("_metadata.file_name").alias("__f"), F.col("_metadata.row_index").alias("__i"))
+    rows = rows.join(F.broadcast(groups), "length").withColumn("__g", F.pmod(F.xxhash64("__f", "__i"), F.col("__k"))).drop("__k")
     before = rows.groupBy("length", "__g").agg(F.count("*").alias("__n"))
     before = before.select("length", "__g", (F.sum("__n").over(Window.partitionBy("length").orderBy("__g")) - F.col("__n")).alias("__before"))
     ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy("length", "__g").orderBy("__f", "__i")) - 1)
