@@ -38,6 +38,11 @@ def distance(m: Column, metric: int, length: int, cap: bool = True) -> Column:
     return F.when(m == 0, F.lit(1.0)).otherwise(F.least(d, F.lit(1.0))) if cap else d
 
 
+def least_jaccard(most: float, length: int) -> float:
+    """The Jaccard index at which the Mash distance is `most`; 0 where every pair is as near as that."""
+    return 1 / (2 * math.exp(most * length) - 1) if most < 1 else 0.0
+
+
 def deviation(m: Column, below: Column) -> Column:
     return F.when((m >= 0) & (m <= 1) & (below > 0), F.sqrt(m * (1 - m) / F.when(below > 0, below)))
 

@@ -207,7 +207,8 @@ def top_n_neighbors(spark, d):
 def distance_threshold(spark, d):
     s = sketch.distinct(doc_counts(spark, d))
     z = sizes(spark, d, "documents", "doc_id", s)
-    near = search.within(search.measure(search.pairs(search.with_itself(search.self_counts(s), z), z, z), PARAMS), 0.05)
+    shared = search.near_counts(s, metrics.least_jaccard(0.05, PARAMS.length))
+    near = search.within(search.measure(search.pairs(search.with_itself(shared, z), z, z), PARAMS), 0.05)
     return near.select("qry", "ref", "xny", F.round("distance", 6).alias("distance"))
 
 

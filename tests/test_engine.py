@@ -179,6 +179,44 @@ def test_fasta_and_fastq(spark, tmp_path):
         sequences.piped(spark, ["x"], "cat")
 
 
+def test_fastq_in_many_splits(spark, tmp_path):
+    """Files of many splits, some of them smaller than a record, of few lines, empty, compressed and cut off."""
+    whole = [(f"@r{i}", dna(1 + i * 37 % 150, i), "I" * (1 + i * 37 % 150)) for i in range(300)]
+    text = "".join(f"{a}\n{s}\n+{a}\n{q}\n" for a, s, q in whole)
+    (tmp_path / "a.fq").write_text(text)
+    (tmp_path / "b.fq").write_bytes(text.replace("\n", "\r\n").encode() + b"@cut\r\nAC\r\n+\r\n")
+    (tmp_path / "c.fq").write_text("")
+    (tmp_path / "d.fq").write_text("@one\n\n+\n")
+    (tmp_path / "e.fq").write_text("@one\n\n+\n\n")
+    with gzip.open(tmp_path / "f.fq.gz", "wt") as f:
+        f.write(text[:-1])
+    want = [(i, *r) for i, r in enumerate(whole)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    for size in ("100", "4000", before[0]):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            found = sequences.fastq(spark, str(tmp_path)).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+            spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+        by = {k: sorted(tuple(r)[1:] for r in found if r["path"].endswith(k)) for k in ("a.fq", "b.fq", "c.fq", "d.fq", "e.fq", "f.fq.gz")}
+        assert by == {"a.fq": want, "b.fq": [(i, a, s, q) for i, a, s, q in want], "c.fq": [], "d.fq": [], "e.fq": [(0, "@one", "", "")], "f.fq.gz": want}
+
+
+@pytest.mark.parametrize("least", [0.0, 0.05, 0.3, 0.5, 0.9, 1.0])
+def test_near_counts_lose_no_pair(spark, least):
+    """Against all pairs, with sketches of one code, copies, subsets and a code that all share."""
+    r = random.Random(7)
+    sets = [{0, *r.sample(range(1, 60), r.randint(1, 30))} for _ in range(40)]
+    sets += [set(sets[0]), set(sets[0]), set(list(sets[1])[:-1]), {0}, {0}, set(range(60)), {77}]
+    df = spark.createDataFrame([(i, c) for i, x in enumerate(sets) for c in x], "sketch_id long, code long")
+    want = {(i, j): len(x & y) for i, x in enumerate(sets) for j, y in enumerate(sets) if i != j and x & y and len(x & y) / len(x | y) >= least}
+    found = {(a, b): n for a, b, n in search.near_counts(df, least).collect()}
+    assert {k: found.get(k) for k in want} == want
+    assert all(n == len(sets[a] & sets[b]) for (a, b), n in found.items())
+
+
 def test_tables_are_read_again(spark, tmp_path):
     found = sketch.distinct(sketch.counts(frame(spark, [dna(800)]), "id", "seq", P))
     catalog = spark.createDataFrame([(0, "one", found.count())], "sketch_id long, name string, n_codes long")
