@@ -3,21 +3,38 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def held(df: DataFrame) -> DataFrame:
-    """df, computed once and cut off from its plan by a checkpoint in the shared folder, which a lost executor doesn't take along.
-
-    The folder is that of spark.checkpoint.dir. Where it is unset, a local session gets one of its own; on a cluster that is an
-    error, as no folder of one machine would do.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset, a local session gets one of its own; on a cluster that is an error, as
+    no folder of one machine would do."""
     sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="loomsketch-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(where)  # only what is there is noted for removal
+    fs.deleteOnExit(where)
+    return path
+
+
+def held(df: DataFrame) -> DataFrame:
+    """df, computed once and cut off from its plan by a checkpoint in the shared folder, which a lost executor doesn't take along."""
+    sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="loomsketch-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

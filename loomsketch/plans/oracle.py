@@ -210,4 +210,18 @@ FROM part GROUP BY 1""",
     "archive_paths": """SELECT p_partkey, 'archive:/all/GCA/' || substr(z, 1, 3) || '/' || substr(z, 4, 3) || '/' || substr(z, 7, 3) || '/' || nm || '/' || nm || '_genomic.fna.gz' AS path
 FROM (SELECT p_partkey, lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS z, 'GCA_' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') || '.1_' || regexp_replace(p_name, '\\s', '_', 'g') AS nm FROM part)""",
     "clean_names": "SELECT page_id, regexp_replace(url, '[^0-9a-zA-Z_.]', '_', 'g') AS name, regexp_extract(url, '([^/]*)/*$', 1) AS base FROM pages",
+    "fasta_records": f"SELECT item_id, item_id || ' item' AS header, coalesce({_fold('text')}, '') AS seq FROM benchmark",
+    "fasta_sketch": f"WITH {_KEPT}, {_codes('low', 'benchmark', 'item_id', _MASKED)} SELECT sketch_id, code FROM low",
+    "fastq_records": f"SELECT '@:' || conv_id || ':' || turn AS id, {_fold("coalesce(text, '')")} AS seq, upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]+', '', 'g')) AS quality FROM conversations",
+    "fastq_abundance": f"WITH {_KEPT}, {_codes('records', 'conversations', "conv_id || ':' || turn")} SELECT CAST(0 AS BIGINT) AS sketch_id, code, CAST(least(sum(n), 65535) AS INTEGER) AS abundance FROM records GROUP BY code",
+    "sketch_files": f"""WITH {_BOUGHT}
+SELECT c_custkey AS sketch_id, c_name AS name, count(code) OVER (PARTITION BY c_custkey) AS n_codes, code, abundance
+FROM customer LEFT JOIN customers ON sketch_id = c_custkey""",
+    "abundance_index": f"{_STATS} SELECT qry, n_name AS name, round(measure, 6) AS measure FROM cosine JOIN nation ON n_nationkey = sample_id",
+    "shared_count_table": f"{_PAIRS} SELECT qry, ref, xny, {_C} AS metric FROM pairs",
+    "report_file": f"""{_PAIRS}, m AS (SELECT *, {_J} AS metric FROM pairs)
+SELECT CAST(qry AS VARCHAR) AS "Qry", CAST(ref AS VARCHAR) AS "Ref", printf('%d-0|%d|%d', xny, x_size, y_size) AS counts, {_six("metric")} AS "Jaccard", {_six(_MASH)} AS "MashD" FROM m""",
+    "path_list_formats": """SELECT '/in/' || p_partkey || ['.fa', '.fna.gz', '.fastq', '.fq.gz', '.co'][p_partkey % 5 + 1] AS path,
+  CASE WHEN p_partkey % 5 IN (0, 1) THEN 'fasta' WHEN p_partkey % 5 IN (2, 3) THEN 'fastq' ELSE 'co' END AS format FROM part""",
+    "format_census_list": "SELECT CASE WHEN p_partkey % 4 = 0 THEN 'fastq' ELSE 'fasta' END AS format, count(*) AS n_files FROM part GROUP BY 1",
 }

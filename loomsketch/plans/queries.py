@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kmer, metrics, names
+from ..held import scratch
 from ..operators import composite, search, setops, sketch, taxonomy
 from ..params import SketchParams, permutation
+from ..sources import files, sequences, tables
 
 PARAMS = SketchParams(6, 4, 1, 42)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -416,3 +418,106 @@ def archive_paths(spark, d):
 @query
 def clean_names(spark, d):
     return table(spark, d, "pages").select("page_id", names.clean_name(F.col("url")).alias("name"), names.base_name(F.col("url")).alias("base"))
+
+
+def _items_as_fasta(spark, d) -> str:
+    """A folder with the benchmark's items as compressed FASTA, in lines of 60 bases."""
+    path = scratch(spark, "fasta")
+    lines = F.regexp_replace(kmer.fold(F.coalesce("text", F.lit(""))), "(.{1,60})", "$1\n")
+    rows = table(spark, d, "benchmark").select(F.concat(F.lit(">"), F.col("item_id").cast("string"), F.lit(" item\n"), lines).alias("value"))
+    rows.write.mode("overwrite").option("compression", "gzip").text(path)
+    return path
+
+
+@query
+def fasta_records(spark, d):
+    """Records of compressed FASTA files."""
+    found = sequences.fasta(spark, _items_as_fasta(spark, d))
+    return found.select(F.split("header", " ")[0].cast("long").alias("item_id"), "header", "seq")
+
+
+@query
+def fasta_sketch(spark, d):
+    """Sketches from FASTA files, with N in some places, in place of a table."""
+    path = scratch(spark, "fasta")
+    seq = F.translate(F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", "")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "N" + "".join("ACGT"[i % 4] for i in range(1, 26)))
+    table(spark, d, "benchmark").select(F.concat(F.lit(">"), F.col("item_id").cast("string"), F.lit("\n"), seq).alias("value")).write.mode("overwrite").text(path)
+    rows = sequences.fasta(spark, path).select(F.col("header").cast("long").alias("item_id"), "seq")
+    return sketch.distinct(sketch.counts(rows, "item_id", "seq", PARAMS))
+
+
+def _turns_as_fastq(spark, d) -> str:
+    """A folder with the conversations' turns as FASTQ: letters as bases, and upper-case letters as their qualities."""
+    path = scratch(spark, "fastq")
+    text = F.coalesce("text", F.lit(""))
+    letters = F.regexp_replace(text, "[^A-Za-z]+", "")
+    rows = table(spark, d, "conversations").select(F.concat_ws("\n", F.concat_ws(":", F.lit("@"), "conv_id", "turn"), kmer.fold(text), F.lit("+"), F.upper(letters)).alias("value"))
+    rows.write.mode("overwrite").text(path)
+    return path
+
+
+@query
+def fastq_records(spark, d):
+    return sequences.fastq(spark, _turns_as_fastq(spark, d)).select("id", "seq", "quality")
+
+
+@query
+def fastq_abundance(spark, d):
+    """Abundances of codes over all FASTQ records, which are one sample."""
+    rows = sequences.fastq(spark, _turns_as_fastq(spark, d)).withColumn("sample", F.lit(0).cast("long"))
+    return sketch.abundance(sketch.counts(rows, "sample", "seq", PARAMS))
+
+
+@query
+def sketch_files(spark, d):
+    """Abundance sketches and their catalog, written in four parts and read again."""
+    path = scratch(spark, "sketch")
+    made = customers(spark, d)
+    catalog = sketch.meta(made, table(spark, d, "customer").select(F.col("c_custkey").alias("sketch_id"))).join(table(spark, d, "customer").select(F.col("c_custkey").alias("sketch_id"), F.col("c_name").alias("name")), "sketch_id")
+    tables.write_sketch(spark, made, catalog, PARAMS, path, components=4)
+    codes, names_, _ = tables.read_sketch(spark, path)
+    return names_.join(codes, "sketch_id", "left").select("sketch_id", "name", "n_codes", "code", "abundance")
+
+
+@query
+def abundance_index(spark, d):
+    """The cosine search over an index that was written with its norms and names."""
+    path = scratch(spark, "vectors")
+    made = abv(spark, d)
+    tables.write_abundance_index(made, table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("sample_id"), F.col("n_name").alias("name")), path)
+    vectors, norms, names_ = tables.read_abundance_index(spark, path)
+    found = composite.cosine(vectors, vectors, norms).join(names_, "sample_id")
+    return found.select("qry", "name", F.round("measure", 6).alias("measure"))
+
+
+@query
+def shared_count_table(spark, d):
+    """Shared counts, kept as a table and measured after reading it again."""
+    path = scratch(spark, "shared")
+    tables.write_table(searched(spark, d), path)
+    return search.measure(tables.read_table(spark, path), PARAMS, metrics.CONTAINMENT).select("qry", "ref", "xny", "metric")
+
+
+@query
+def report_file(spark, d):
+    """A report as text, read back as text."""
+    path = scratch(spark, "report")
+    tables.write_report(search.formatted(search.measure(searched(spark, d), PARAMS)), path)
+    return spark.read.csv(path, sep="\t", header=True).select("Qry", "Ref", F.col("`Shared_k|Ref_s|Qry_s`").alias("counts"), "Jaccard", "MashD")
+
+
+@query
+def path_list_formats(spark, d):
+    """A list of paths, with blanks before some and empty lines, by format."""
+    path = scratch(spark, "list")
+    end = F.element_at(F.array(*[F.lit(x) for x in (".fa", ".fna.gz", ".fastq", ".fq.gz", ".co")]), (F.col("p_partkey") % 5 + 1).cast("int"))
+    blank = F.when(F.col("p_partkey") % 3 == 0, "  ").otherwise("")
+    table(spark, d, "part").select(F.concat(blank, F.lit("/in/"), F.col("p_partkey").cast("string"), end, F.when(F.col("p_partkey") % 2 == 0, "\n").otherwise("")).alias("value")).write.mode("overwrite").text(path)
+    return files.path_list(spark, path)
+
+
+@query
+def format_census_list(spark, d):
+    """The census over the same kind of list."""
+    rows = table(spark, d, "part").select(F.concat(F.lit("/in/"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 4 == 0, ".fq.bz2").otherwise(".fas")).alias("path"))
+    return files.census(files.checked(rows))
