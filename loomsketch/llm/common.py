@@ -170,6 +170,11 @@ def _eights(buf: np.ndarray) -> np.ndarray:
     return np.ndarray((len(buf) + 1,), "<u8", padded.data, 0, (1,))
 
 
+def first_bytes(buf: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Up to eight bytes from each place on, as one number."""
+    return _eights(buf)[start] & _LOW[np.minimum(size, 8)]
+
+
 def word_hashes(words: Words, lower: bool = False) -> np.ndarray:
     """A 64-bit hash of each word's bytes (with A-Z as a-z if lower). Eight bytes at a time go through `mix`, so that no
     arrangement of letters cancels out, as it can in sums of powers."""

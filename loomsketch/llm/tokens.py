@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
-from .common import Words, buffers, chunks, distinct_words, table
+from .common import Words, buffers, chunks, distinct_words, first_bytes, mix, table
 
 #: Characters that NFC leaves alone, that are no space, and that are lower-cased one by one into such characters.
 _PLAIN = "".join(chr(c) for c in [*range(0x21, 0x7F), *range(0xA1, 0x250)] if len(chr(c).lower()) == 1 and ord(chr(c).lower()) < 0x250)
@@ -62,6 +62,45 @@ class Memo(dict):
         return value
 
 
+class RecentWords:
+    """The ids of words seen lately, in a table of fixed size that the runs of a worker share. A word has one place in it, which
+    the last one that came there holds; it is known by all its bytes, so what is found is never another word's."""
+
+    BITS, BYTES, IDS = 18, 16, 6  # places; the longest word and the most ids that are kept
+
+    def __init__(self):
+        n = 1 << self.BITS
+        self.head, self.tail, self.size = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int64)
+        self.count, self.ids = np.zeros(n, np.int64), np.zeros((n, self.IDS), np.uint32)
+
+    def look_up(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some words, none of them empty, and how many each has; make(buf, start, end) gives those of new ones."""
+        size = end - start
+        head, tail = first_bytes(buf, start, size), first_bytes(buf, np.minimum(start + 8, len(buf)), np.maximum(size - 8, 0))
+        place = (mix(head ^ mix(tail ^ size.astype(np.uint64))) >> np.uint64(64 - self.BITS)).astype(np.int64)
+        known = (self.size[place] == size) & (self.head[place] == head) & (self.tail[place] == tail)
+        new, old = np.flatnonzero(~known), np.flatnonzero(known)
+        made, n = make(buf, start[new], end[new])
+        count = self.count[place]
+        count[new] = n
+        begin = np.cumsum(count) - count
+        ids, from_ = np.empty(count.sum(), np.uint32), np.cumsum(n) - n
+        ids[np.arange(len(made)) + np.repeat(begin[new] - from_, n)] = made
+        at = place[old]
+        for k in range(self.IDS):
+            more = count[old] > k
+            old, at = old[more], at[more]
+            ids[begin[old] + k] = self.ids[at, k]
+        keep = np.flatnonzero((size[new] <= self.BYTES) & (n <= self.IDS))
+        keep = keep[np.unique(place[new[keep]], return_index=True)[1]]  # one word for a place
+        kept, at = new[keep], place[new[keep]]
+        self.head[at], self.tail[at], self.size[at], self.count[at] = head[kept], tail[kept], size[kept], n[keep]
+        for k in range(self.IDS):
+            more = n[keep] > k
+            self.ids[at[more], k] = made[from_[keep[more]] + k]
+        return ids, count
+
+
 class ForcedBoundaryEncoder:
     """Encodes as the tokenizers library does with the file at `path`, add_special_tokens=False.
 
@@ -91,6 +130,7 @@ class ForcedBoundaryEncoder:
             raise ValueError("not a tokenizer of the kind that ForcedBoundaryEncoder takes")
         self.vocab, self.merges = vocab, merges
         self.odd = Memo(self.word, 20_000)
+        self.recent = RecentWords()
         names = {v: k for k, v in vocab.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         #: Each id's decimal digits and token, as bytes.
         self.digits, self.names = [b"%d" % i for i in range(max(names) + 1)], [names.get(i, "").encode() for i in range(max(names) + 1)]
@@ -136,7 +176,7 @@ class ForcedBoundaryEncoder:
         """
         w = Words(buf, offsets)
         first, inverse = distinct_words(w)
-        ids, count = self._distinct(w.buf, w.start[first], w.end[first])
+        ids, count = self.recent.look_up(w.buf, w.start[first], w.end[first], self._distinct)
         begin = np.concatenate([[0], np.cumsum(count)])
         n = count[inverse]
         bounds = np.concatenate([[0], np.cumsum(n)])
@@ -302,7 +342,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     Null text counts as empty; an empty text has no tokens and the digests of an empty string. A null doc_id is kept as
     it is, repeated rows each give a row, other columns are ignored. Texts are taken whole, whatever their length; memory
-    is that of one Arrow batch and of the arrays for 1 MB of text, or for one text that is longer.
+    is that of one Arrow batch, of 16 MB of recent words and of the arrays for 1 MB of text, or for one text that is longer.
     """
     path = path or default_path()
 

@@ -36,6 +36,19 @@ def test_random_texts_equal_the_library(library):
         assert it.encode(text) == ids_of(library, text), repr(text)
 
 
+def test_recent_words_never_give_another_words_ids(library):
+    """Words that share their first bytes, differ in zeros or in length, in a table of four places, run after run."""
+    rng = random.Random(5)
+    words = ["a", "a\0", "ab", "abcdefgh", "abcdefgh\0", "abcdefghi", "abcdefghj", "abcdefghijklmnop", "abcdefghijklmnoq", "abcdefghijklmnopq", "xyzqjxzqjxzq", "1234567890123456", "é", "日本", "<|endoftext|>", "x" * 100]
+    it = tokens.ForcedBoundaryEncoder(tokens.default_path())
+    it.recent = type("Small", (tokens.RecentWords,), {"BITS": 2})()
+    for _ in range(300):
+        texts = [" ".join(rng.choices(words, k=rng.randrange(8))) for _ in range(rng.randrange(1, 4))]
+        data = [x.encode() for x in texts]
+        ids, at = it.encode_texts(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [ids_of(library, t) for t in texts]
+
+
 def test_encode_decode_gives_ids_and_text(docs, given, library):
     out = rows_of(tokens.encode_decode(docs), "doc_id", "ids", "decoded")
     same(out, [(i, x := ids_of(library, t), library.decode(x, skip_special_tokens=False)) for i, t, _ in given])
