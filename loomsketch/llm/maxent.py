@@ -33,6 +33,8 @@ BATCH = 1 << 16
 STEP, PRIOR = 0.5, 2.0
 #: Partitions that train at most, and parts in which their weights are sent and added up.
 TRAINERS, SLICES = 4096, 128
+#: Partitions that may train however few tokens there are, and tokens of each where there are more.
+LEAST_TRAINERS, TOKENS_A_TRAINER = 64, 1 << 24
 SMOOTH = 0.1
 CERTAIN, _JUMP = 60.0, 18
 _END, _START = np.uint64(0x0E17D), np.uint64(0x57A27)
@@ -154,18 +156,22 @@ class Model:
         p[klass, np.arange(len(klass))] -= 1
         share = np.exp(self.known.share)
         self.curve += (share * (1 - share))[:, None] * np.bincount(rows.ravel(), minlength=self.known.rows).astype(np.float32)
-        sums = np.stack([sum(np.bincount(r, q, self.known.rows) for r in rows) for q in p])
-        self.w -= (STEP * sums / (PRIOR + self.curve)).astype(np.float32)
-        sums, bend = np.zeros(self.known.nodes), np.zeros(self.known.nodes)
+        for k, q in enumerate(p):
+            sums = np.bincount(rows.ravel(), np.tile(q, FEATURES), self.known.rows)
+            self.w[k] -= (STEP * sums / (PRIOR + self.curve[k])).astype(np.float32)
+        # what is done for every node is done once an update, not for each step and feature
+        sums, bend = np.zeros(self.known.nodes, np.float32), np.zeros(self.known.nodes, np.float32)
         for d in range(CODE):
             right, x, places = self.path(f, klass, code, d)
             p = 1 / (1 + np.exp(-x))
-            gap, curve = right - p, p * (1 - p)
+            gap, curve = right.astype(np.float32) - p, p * (1 - p)
             for at in places:
-                sums += np.bincount(at, gap, self.known.nodes)
-                bend += np.bincount(at, curve, self.known.nodes)
-        self.bend += bend.astype(np.float32)
-        self.node += (STEP * sums / (PRIOR + self.bend)).astype(np.float32)
+                np.add.at(sums, at, gap)
+                np.add.at(bend, at, curve)
+        self.bend += bend
+        sums /= self.bend + np.float32(PRIOR)
+        sums *= np.float32(STEP)
+        self.node += sums
 
     def log_words(self, f: np.ndarray, klass: np.ndarray, code: np.ndarray) -> np.ndarray:
         """Natural log of P(class and code | context) of each token."""
@@ -234,6 +240,12 @@ def gather(texts: DataFrame) -> tuple[DataFrame, Counts]:
     return counts, Counts(h.view(np.uint64), n, bins, low, texts.count())
 
 
+def trainers(known: Counts) -> int:
+    """How many partitions train at most. Each sends all rows and nodes, 25 MB at their bounds, whatever it was given to read; so
+    where there are many tokens each gets some 70 MB of text, and what is sent grows with the text and stays below it."""
+    return min(TRAINERS, max(LEAST_TRAINERS, known.total // TOKENS_A_TRAINER))
+
+
 def train(texts: DataFrame, known: Counts) -> Model:
     """The model, its weights averaged over partitions."""
 
@@ -261,7 +273,7 @@ def train(texts: DataFrame, known: Counts) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["slice", "w"])
 
     schema = "slice int, w binary"
-    sums = texts.coalesce(TRAINERS).mapInArrow(run, schema).repartition("slice").mapInArrow(add, schema).collect()  # SLICES rows of bounded size
+    sums = texts.coalesce(trainers(known)).mapInArrow(run, schema).repartition("slice").mapInArrow(add, schema).collect()  # SLICES rows of bounded size
     model = Model(known)
     model.load({r["slice"]: bytes(r["w"]) for r in sums})
     return model

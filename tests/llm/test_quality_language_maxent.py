@@ -170,6 +170,65 @@ def test_learning_lowers_the_loss():
     assert np.allclose(other.log_words(f, klass, code), after, atol=1e-3)
 
 
+def full_model():
+    """A model with tables at their bounds, as for billions of tokens, and a batch of tokens."""
+    known, _ = toy_model()
+    known.rows, known.nodes = 1 << maxent.ROWS[1], 1 << maxent.NODES[1]
+    model = maxent.Model(known)
+    h = np.random.default_rng(3).choice(known.hash[:-1], 20_000)
+    return model, maxent.contexts(h, np.array([0, len(h)])), *known.look(h)[1:]
+
+
+def test_an_update_equals_plain_sums():
+    model, f, klass, code = full_model()
+    for _ in range(2):
+        node, bend, w, curve = model.node.copy(), model.bend.copy(), model.w.copy(), model.curve.copy()
+        rows = model.class_rows(f)
+        p = np.exp(model.log_classes(rows))
+        share = np.exp(model.known.share)
+        for k in range(maxent.CLASSES):
+            curve[k] += share[k] * (1 - share[k]) * np.bincount(rows.ravel(), minlength=model.known.rows)
+            sums = sum(np.bincount(r, p[k] - (klass == k), model.known.rows) for r in rows)
+            w[k] -= maxent.STEP * sums / (maxent.PRIOR + curve[k])
+        sums, more = np.zeros(len(node)), np.zeros(len(node))
+        for d in range(maxent.CODE):
+            right, x, places = model.path(f, klass, code, d)
+            p = 1 / (1 + np.exp(-x.astype(float)))
+            for at in places:
+                sums += np.bincount(at, right - p, len(node))
+                more += np.bincount(at, p * (1 - p), len(node))
+        bend = bend + more
+        node = node + maxent.STEP * sums / (maxent.PRIOR + bend)
+        model.update(f, klass, code)
+        assert all(np.allclose(a, b, rtol=1e-4, atol=1e-4) for a, b in ((model.node, node), (model.bend, bend), (model.w, w), (model.curve, curve)))
+
+
+def test_an_update_makes_few_tables(monkeypatch):
+    """At most two tables by node an update, not two for each step and feature; their cost made large inputs slow."""
+    model, f, klass, code = full_model()
+    made = []
+    for name in ("zeros", "bincount"):
+
+        def counted(*args, real=getattr(np, name), **more):
+            out = real(*args, **more)
+            made.append(out.size >= model.known.nodes)
+            return out
+
+        monkeypatch.setattr(maxent.np, name, counted)
+    model.update(f, klass, code)
+    assert sum(made) <= 2
+
+
+def test_weights_sent_stay_below_the_text():
+    """Whatever the number of splits of the input, here of 16 MB, with five bytes a token."""
+    model, *_ = full_model()
+    known, one = model.known, sum(map(len, model.parts()))
+    for total in (10**9, 10**10, 10**12):
+        known.total = total
+        n = min(maxent.trainers(known), total * 5 // 2**24)
+        assert maxent.LEAST_TRAINERS <= n <= maxent.TRAINERS and n * one < total * 5
+
+
 def test_context_helps_on_held_out_documents(docs):
     rows = [r for r in maxent.score(docs).collect() if r["held_out"] and r["doc_id"] is not None and r["doc_id"] < 1_000_000]
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
