@@ -34,7 +34,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 @_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates (five words, similarity 0.8) the document with the smallest doc_id stays."""
+    """Of each component of near duplicates the document with the smallest doc_id stays. Candidates share a covering table's bucket
+    of SimHash fingerprints, or a band of min-hashes; those of similarity 0.8 by five words, checked exactly, are linked."""
     return simhash.keep_first(docs, shingle=5, similarity=0.8)
 
 

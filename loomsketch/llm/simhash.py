@@ -9,10 +9,12 @@ Fingerprints that collide with another one in some table are then linked exactly
 if and only if some word is at most 1 bit from both, so each offers itself to the 65 words around it, and those who meet at
 a word are linked to the smallest there. No list of pairs is made: a word has at most 65 neighbours.
 
-keep_first also takes a Jaccard similarity of word shingles. At 0.8 about 10 of 64 bits differ, and covering those would take
-thousands of tables, so candidates come from bands of min-hashes there. Each bucket's texts are compared exactly. A bucket of
-more than GROUP texts is split: its parts are linked on their own, each together with the same few pivots of the bucket, and
-then blocks of texts that are in different components still are compared with each other. No task holds a whole bucket.
+keep_first also takes a Jaccard similarity of word shingles. Candidates are the texts that share a bucket of a covering table of
+their fingerprints, which no pair within the radius escapes. At 0.8 about 10 of 64 bits differ, and covering those would take
+thousands of tables, so pairs beyond the radius are candidates by bands of min-hashes too. An exact check follows: each bucket's
+texts are compared by their sets of shingles, and only those that reach the similarity are linked. A bucket of more than GROUP
+texts is split: its parts are linked on their own, each together with the same few pivots of the bucket, and then blocks of
+texts that are in different components still are compared with each other. No task holds a whole bucket.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ BLOCK = 1 << 14
 BANDS, BAND = 32, 5
 #: Texts of a bucket that one task compares, and pivots that the parts of a larger bucket have in common.
 GROUP, PIVOTS = 2000, 16
+_HALVES, _HALF = np.uint64(0x0000000100000001), np.uint64(0xFFFFFFFF)
 _FACTORS = np.random.default_rng(20250118).integers(1, 1 << 63, (BANDS, BAND), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -148,6 +151,22 @@ def shingles(buf: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarra
     return out, begin
 
 
+def simhashes(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The fingerprint of each text from the hashes of its shingles, repeats included: a bit is 1 if set in over half of them."""
+    n, out = np.diff(begin).astype(np.uint64), np.zeros(len(begin) - 1, np.uint64)
+    for i in np.arange(32, dtype=np.uint64):  # bits i and i + 32 are counted in the two halves of a number
+        ones = np.add.reduceat(h >> i & _HALVES, begin[:-1])
+        for bit, count in ((i, ones & _HALF), (i + np.uint64(32), ones >> np.uint64(32))):
+            out |= (count * np.uint64(2) > n).astype(np.uint64) << bit
+    return out
+
+
+def covering_keys(fp: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    """A key for each fingerprint and covering table; two fingerprints within the radius share one."""
+    kept = np.array(masks(radius), np.int64).view(np.uint64)
+    return mix(mix(fp[:, None] & kept) + np.arange(BANDS, BANDS + len(kept), dtype=np.uint64))
+
+
 def band_keys(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """A key for each text and band."""
     keys = np.empty((len(begin) - 1, BANDS), np.uint64)
@@ -272,7 +291,7 @@ def blocks(labelled: DataFrame, group: int = GROUP) -> DataFrame:
 def similar(docs: DataFrame, shingle: int, similarity: float, group: int = GROUP) -> DataFrame:
     """doc_id, th and root of every row; rows of one root are linked by sets of shingles of at least that similarity.
 
-    A text is taken once however often it occurs. Buckets with the same texts in several bands are compared once; a task
+    A text is taken once however often it occurs. Buckets with the same texts in several tables or bands are compared once; a task
     holds the sets of some `group` of a bucket's different texts, or of two blocks of that size.
     """
     text = F.col("text").cast("string")
@@ -282,11 +301,12 @@ def similar(docs: DataFrame, shingle: int, similarity: float, group: int = GROUP
         for batch in batches:
             buf, off = buffers(batch.column(1))
             for a, b in chunks(off):
-                keys = band_keys(*shingles(buf, off[a : b + 1], shingle))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * BANDS, pa.int32()), pa.array(keys.ravel().view(np.int64)))
+                h, begin = shingles(buf, off[a : b + 1], shingle)
+                keys = np.hstack([covering_keys(simhashes(h, begin)), band_keys(h, begin)])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], ["th", "keys"])
 
-    keys = stored(all_texts.mapInArrow(keyed, "th long, keys array<long>").dropDuplicates(["th"]), "bands")
+    keys = stored(all_texts.mapInArrow(keyed, "th long, keys array<long>").dropDuplicates(["th"]), "keys")
     rows = keys.select("th", F.explode("keys").alias("k"))
     shared = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("th").alias("a"), F.max("th").alias("b"), F.bit_xor(F.xxhash64("th")).alias("x")).filter("n > 1")
     members = stored(rows.join(shared.select("k", "n", F.xxhash64("n", "a", "b", "x").alias("bucket")), "k").select("bucket", "n", "th").distinct(), "buckets")
@@ -321,8 +341,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """One document of each component, with the columns of docs: the one with the smallest doc_id.
 
-    Documents are linked where their fingerprints are at most RADIUS bits apart or, with a similarity, where the Jaccard
-    similarity of their sets of shingles reaches it.
+    Documents are linked where their fingerprints are at most RADIUS bits apart or, with a similarity, where they share a covering
+    table's bucket or a band and the Jaccard similarity of their sets of shingles reaches it.
     Rows of one doc_id and different texts are different documents; a row that is repeated as a whole stays once.
     """
     rows = classes(docs, shingle) if similarity is None else similar(docs, shingle, similarity)

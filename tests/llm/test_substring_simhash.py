@@ -180,6 +180,59 @@ def test_stage_keeps_one_of_near_copies(spark):
     assert simhash.keep_first(df).count() > len(want)
 
 
+def test_simhashes_equal_plain_counts():
+    """Also with even splits, one shingle, and more shingles than a short counter holds."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    size = [1, 2, 3, 64, 1000, 70_000]
+    h, begin = rng.integers(0, 2**64, sum(size), np.uint64), np.append(0, np.cumsum(size))
+    for a, b, fp in zip(begin[:3], begin[1:4], simhash.simhashes(h, begin)[:3], strict=True):
+        assert int(fp) == sum(1 << i for i in range(64) if 2 * sum(int(x) >> i & 1 for x in h[a:b]) > b - a)
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    want = [np.packbits(2 * bits[a:b].sum(0, dtype=int) > b - a, bitorder="little").view(np.uint64)[0] for a, b in zip(begin[:-1], begin[1:], strict=True)]
+    assert simhash.simhashes(h, begin).tolist() == want
+
+
+def test_covering_keys_meet_within_the_radius():
+    import numpy as np
+
+    fp = np.random.default_rng(7).integers(0, 2**64, 1, np.uint64)
+    near = np.array([int(fp[0]) ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(64)], np.uint64)
+    keys = simhash.covering_keys(near)
+    assert keys.shape == (64 * 64, 7) and (keys == simhash.covering_keys(fp)).any(1).all()
+    far = simhash.covering_keys(np.random.default_rng(8).integers(0, 2**64, 1000, np.uint64))
+    assert len(np.unique(far)) == far.size
+
+
+def test_near_dedup_goes_through_covering_tables(spark, monkeypatch):
+    """Without a band in common, near copies of at most two different fingerprint bits are still found by the covering tables, and
+    texts below the similarity are not linked."""
+    import random
+
+    import numpy as np
+
+    import corpus_pipeline
+
+    monkeypatch.setattr(simhash, "band_keys", lambda h, begin: np.random.default_rng().integers(0, 2**64, (len(begin) - 1, 32), np.uint64))
+    rng, rows = random.Random(9), []
+    for g in range(40):
+        base = [f"g{g}w{i}" for i in range(500)]
+        for _ in range(3):
+            copy = list(base)
+            copy[rng.randrange(len(copy))] = f"new{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+        rows.append((len(rows), " ".join(base[: 250 + g])))
+    column = simhash.pa.array([t for _, t in rows])
+    h, begin = simhash.shingles(*simhash.buffers(column), 5)
+    fp, sets = [int(x) for x in simhash.simhashes(h, begin)], [five_words(t) for _, t in rows]
+    close = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    found = [(i, j) for j in range(len(rows)) for i in range(j) if (fp[i] ^ fp[j]).bit_count() <= 2 and close(i, j)]
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()}
+    assert len(found) > 8 and not kept & {j for _, j in found}
+    assert all(any(close(i, j) for i in range(j)) for j in set(range(len(rows))) - kept)
+
+
 def test_links_lose_no_pair():
     """A bucket where the first set is like neither of two others that are alike."""
     import numpy as np
