@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kmer, metrics, names
-from ..held import scratch
+from ..held import scratch, stored
 from ..operators import composite, search, setops, sketch, taxonomy
 from ..params import SketchParams, permutation
 from ..sources import files, sequences, tables
@@ -301,7 +301,7 @@ def vector_norms(spark, d):
 
 
 def _search(spark, d, how: str) -> DataFrame:
-    vectors = abv(spark, d)
+    vectors = stored(abv(spark, d), "vectors")  # read on both sides and for both norms
     found = composite.search(vectors, vectors, how)
     return found.select("qry", "sample_id", (F.round("measure", 6) + F.lit(0.0)).alias("measure"))  # no negative zero
 
