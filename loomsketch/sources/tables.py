@@ -69,7 +69,7 @@ def write_abundance_index(vectors: DataFrame, names: DataFrame, path: str) -> No
     """An index of abundance vectors (sample_id, ref_id, pct): the vectors sorted by reference, which a search joins on, their
     norms, and the samples' names (sample_id, name)."""
     vectors.repartition("ref_id").sortWithinPartitions("ref_id", "sample_id").write.mode("overwrite").parquet(f"{path}/vectors")
-    norms(vectors).write.mode("overwrite").parquet(f"{path}/norms")
+    norms(read_table(vectors.sparkSession, f"{path}/vectors")).write.mode("overwrite").parquet(f"{path}/norms")  # not made again
     names.select("sample_id", "name").write.mode("overwrite").parquet(f"{path}/names")
 
 
