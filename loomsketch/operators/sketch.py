@@ -11,8 +11,8 @@ from ..functions import kmer
 from ..params import ARRAY_S, SketchParams, kept_ranks, permutation
 from .order import cumulative
 
-#: Bases that are coded at once.
-CHUNK = 1 << 20
+#: Bases that are coded at once; longer sequences in pieces.
+CHUNK = 1 << 18
 MAX_ABUNDANCE = 65535
 
 
@@ -22,6 +22,14 @@ def _spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(want) if rows.rdd.getNumPartitions() < want else rows
 
 
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A text column's bytes where Arrow has them, and where each row begins and ends there; null is empty."""
+    column = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).fill_null(b"")
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), ends
+
+
 def kmer_rows(rows: DataFrame, sketch_id: str, seq: str, params: SketchParams, folded: bool = False, drop_zero: bool = False, quality: str | None = None, min_quality: int = 0, phred_offset: int = 0) -> DataFrame:
     """(sketch_id, code, n) of every row by itself. Null sequences have no codes.
 
@@ -32,35 +40,45 @@ def kmer_rows(rows: DataFrame, sketch_id: str, seq: str, params: SketchParams, f
     cols = [F.col(sketch_id).alias("sketch_id"), F.col(seq).cast("string").alias("seq"), *([F.col(quality).cast("string").alias("q")] if quality else [])]
     if params.s > ARRAY_S:
         return _native(rows.select(*cols), params, folded, drop_zero, quality is not None, min_quality + phred_offset)
+    run = _coder(params, folded, drop_zero, quality is not None, min_quality + phred_offset)
+    return _spread(rows.select(*cols)).mapInArrow(run, f"sketch_id {kind}, code long, n long")
+
+
+def _coder(params: SketchParams, folded: bool, drop_zero: bool, masked: bool, least: int):
+    """What a task does with its batches (sketch_id, sequence, perhaps qualities). Beside a batch it holds what CHUNK bases need."""
     ranks = kept_ranks(params)
-    least = min_quality + phred_offset
+
+    width = params.length
+
+    def coded(x: np.ndarray) -> np.ndarray:
+        x = kmer.folded_bases(x) if folded else kmer.dna_bases(x)
+        if len(x) <= CHUNK:
+            return kmer.codes(x, params, ranks)
+        return np.concatenate([kmer.codes(x[a : a + CHUNK + width - 1], params, ranks) for a in range(0, len(x) - width + 1, CHUNK)])
 
     def run(batches):
         for batch in batches:
-            text = batch.column(1).cast(pa.binary()).to_pylist()
-            marks = batch.column(2).cast(pa.binary()).to_pylist() if quality else None
+            data, ends = _bytes(batch.column(1))
+            marks, marked = _bytes(batch.column(2)) if masked else (None, None)
             a = 0
-            while a < len(text):
-                parts, b, size = [], a, 0
-                while b < len(text) and (b == a or size < CHUNK):
-                    x = np.frombuffer(text[b] or b"", np.uint8)
-                    if marks is not None and marks[b]:
-                        q = np.frombuffer(marks[b], np.uint8)[: len(x)]
+            while a < batch.num_rows:
+                rows_, found, count, b, size = [], [], [], a, 0
+                while b < batch.num_rows and (b == a or size < CHUNK):
+                    x = data[ends[b] : ends[b + 1]]
+                    if marks is not None and marked[b] < marked[b + 1]:
+                        q = marks[marked[b] : marked[b + 1]][: len(x)]
                         x = x.copy()
                         x[: len(q)][q < least] = ord("N")
-                    parts.append(kmer.folded_bases(x) if folded else kmer.dna_bases(x))
-                    size += len(x)
-                    b += 1
-                rows_, found, count = [], [], []
-                for i, x in enumerate(parts):
-                    c, n = np.unique(kmer.codes(x, params, ranks), return_counts=True)
+                    c, n = np.unique(coded(x), return_counts=True)
                     if drop_zero and len(c) and c[0] == 0:
                         c, n = c[1:], n[1:]
-                    rows_.append(np.full(len(c), a + i)), found.append(c), count.append(n)
+                    rows_.append(np.full(len(c), b)), found.append(c), count.append(n)
+                    size += len(x)
+                    b += 1
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(rows_))), pa.array(np.concatenate(found)), pa.array(np.concatenate(count).astype(np.int64))], ["sketch_id", "code", "n"])
                 a = b
 
-    return _spread(rows.select(*cols)).mapInArrow(run, f"sketch_id {kind}, code long, n long")
+    return run
 
 
 def _native(rows: DataFrame, params: SketchParams, folded: bool, drop_zero: bool, masked: bool, least: int) -> DataFrame:
