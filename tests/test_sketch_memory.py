@@ -46,3 +46,16 @@ def test_slices_nulls_and_qualities(monkeypatch, chunk):
         c, n = np.unique(kmer.codes(kmer.dna_bases(np.frombuffer(masked, np.uint8)), P, kept_ranks(P)), return_counts=True)
         want += [(i, *x) for x in zip(c.tolist(), n.tolist(), strict=True)]
     assert want and coded(batch, least=ord("5")) == want
+
+
+def test_texts_are_not_copied():
+    """A batch of 24 MB in 8000 texts."""
+    text = "".join(random.Random(3).choices("abcdefghij ", k=3000))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8000)), pa.array([text] * 8000)], ["sketch_id", "seq"])
+    run = sketch._coder(P, True, False, False, 0)
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in run([batch])) % 8000 == 0
+        assert tracemalloc.get_traced_memory()[1] < 12e6
+    finally:
+        tracemalloc.stop()
